@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from celerix.llm.common import WordHashes, mix64, pieces, remove, stored, text_bytes
@@ -217,11 +217,16 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Stored: the pairs (a, b) whose sets are alike."""
     one = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb"))
-    size = sets.select("set_id", F.size("shingles").alias("n"))
-    fit = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).select("a", "b")
-    full = fit.join(one, "a").join(two, "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return stored(full.filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b"), "alike")
+    return stored(pairs.join(one, "a").join(two, "b").filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b"), "alike")
+
+
+def _band(signature: str = "signature") -> Column:
+    return F.col(signature).bitwiseAND(F.lit(255)).cast("int")
+
+
+def _slack() -> Column:
+    return F.array(*[F.lit(int(x)) for x in SLACK])[F.col("band")]
 
 
 def _allocate(segments: int, need: int, exact: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -279,44 +284,53 @@ def _deletion_pairs(short: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.least("q", "set_id").alias("a"), F.greatest("q", "set_id").alias("b")).distinct()
 
 
-def _short(info: DataFrame, busy: DataFrame) -> DataFrame:
-    """(set_id, band) that skip more segments than the slack: empty ones and busy signatures (set_id, band, n)."""
-    slack = F.array(*[F.lit(int(x)) for x in SLACK])
-    empty = info.filter("size(bands) > 0").select("set_id", F.explode(F.arrays_zip("bands", "empties")).alias("z")).select("set_id", F.col("z.bands").alias("band"), F.col("z.empties").alias("n"))
-    skipped = empty.distinct().unionByName(busy).groupBy("set_id", "band").agg(F.sum("n").alias("n"))
-    return skipped.filter(F.col("n") > slack[F.col("band")]).select("set_id", "band")
+def _skipped(info: DataFrame, busy: DataFrame | None = None) -> DataFrame:
+    """set_id, band, skip: segments that the set has empty, or with a busy signature (set_id, band, n)."""
+    rows = info.filter("size(bands) > 0").select("set_id", F.explode(F.arrays_zip("bands", "empties")).alias("z")).select("set_id", F.col("z.bands").alias("band"), F.col("z.empties").cast("long").alias("n")).filter("n > 0").distinct()
+    return (rows if busy is None else rows.unionByName(busy)).groupBy("set_id", "band").agg(F.sum("n").alias("skip"))
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(info, links, labels): info has doc_id, n_shingles, set_id by row; links (a, b) between set ids, a spanning part
-    of all of them; labels the component of each linked set id."""
+    of all of them; labels the component of each linked set id.
+
+    Like sets share slack + 1 identical segments at least in the smaller one's band, so a pair that shares fewer
+    signatures than that, less the segments that one of the two skips there, is not verified.
+    """
     signed = _signed(docs)
     shared = _shared(signed.filter("size(posted) > 0").select("set_id", F.explode("posted").alias("signature")))
     info = stored(signed.drop("posted"), "info")
     remove(docs.sparkSession, signed)
     names = info.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    lonely = _short(info, shared.limit(0).select("set_id", F.lit(0).alias("band"), F.lit(0).cast("long").alias("n"))).select("set_id")
-    wanted = stored(names.join(shared.select("set_id").union(lonely).distinct(), "set_id", "left_semi"), "wanted")
-    sets = _sets(docs, wanted).dropDuplicates(["set_id"])
-    first = _alike(shared.filter("set_id <> pivot").select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct(), sets)
+    lonely = _skipped(info).filter(F.col("skip") > _slack()).select("set_id")
+    sets = _sets(docs, stored(names.join(shared.select("set_id").union(lonely).distinct(), "set_id", "left_semi"), "wanted"))
+
+    # the least set of each bucket against the others: most links, and components that settle most buckets
+    stars = shared.filter("set_id <> pivot").select(F.col("pivot").alias("a"), F.col("set_id").alias("b"), _band().alias("band"))
+    first = _alike(stars.groupBy("a", "b", "band").agg(F.count("*").alias("n")).filter(F.col("n") > _slack()).select("a", "b").distinct(), sets)
     label = components(first)
-    # buckets whose sets are not yet in one component
+
+    # buckets whose sets are not yet in one component: all pairs of different components, or skipped if busy
     named = shared.select("signature", "set_id").join(label.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     open_ = named.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("signature", "k")
     mixed = stored(named.join(open_, "signature"), "mixed")
+    busy = mixed.filter(F.col("k") > BUSY).groupBy("set_id", _band().alias("band")).agg(F.count("*").alias("n"))
+    skipped = stored(_skipped(info, busy), "skipped")
     left = mixed.filter(F.col("k") <= BUSY)
     other = left.select("signature", F.col("set_id").alias("b"), F.col("component").alias("cb"))
-    pairs = left.select("signature", F.col("set_id").alias("a"), F.col("component").alias("ca")).join(other, "signature").filter("a < b and ca <> cb").select("a", "b").distinct()
-    second = _alike(pairs, sets)
-    busy = mixed.filter(F.col("k") > BUSY).groupBy("set_id", (F.col("signature").bitwiseAND(F.lit(255))).cast("int").alias("band")).agg(F.count("*").alias("n"))
-    short = stored(_short(info, busy), "short")
+    met = left.select("signature", F.col("set_id").alias("a"), F.col("component").alias("ca")).join(other, "signature").filter("a < b and ca <> cb")
+    met = met.groupBy("a", "b", _band().alias("band")).agg(F.count("*").alias("n"))
+    met = met.join(skipped.toDF("a", "band", "xa"), ["a", "band"], "left").join(skipped.toDF("b", "band", "xb"), ["b", "band"], "left")
+    second = _alike(met.filter(F.col("n") + F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0))) > _slack()).select("a", "b").distinct(), sets)
     links = first.union(second)
+
+    short = stored(skipped.filter(F.col("skip") > _slack()).select("set_id", "band"), "short")
     if not short.isEmpty():
         near = _deletion_pairs(short, sets)
         ca, cb = label.toDF("a", "ca"), label.toDF("b", "cb")
         near = near.join(ca, "a", "left").join(cb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
         links = links.union(_alike(near, sets))
-    links = stored(links, "links")
+    links = stored(links.distinct(), "links")
     return info, links, components(links)
 
 
@@ -326,7 +340,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     n_links counts verified links; inside a component links that others imply may be unverified.
     """
     info, links, label = jaccard_links(docs)
-    counts = links.select("a", "b").union(links.select("b", "a")).distinct().toDF("s", "o").groupBy("s").agg(F.count("*").alias("n_links"))
+    counts = links.select("a", "b").union(links.select("b", "a")).toDF("s", "o").groupBy("s").agg(F.count("*").alias("n_links"))
     named = info.join(label.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("class", F.coalesce("component", "set_id"))
     least = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "class", "left").join(counts, F.col("set_id") == F.col("s"), "left")
