@@ -58,6 +58,8 @@ class Model:
     def __init__(self, texts: dict[str, list[bytes]]):
         self.langs = sorted(texts)
         n_lang, a = len(self.langs), SYMBOLS
+        if not n_lang:
+            return
         seen = np.zeros(256, np.int64)
         for lang in self.langs:
             seen += np.bincount(np.frombuffer(b"".join(texts[lang]), np.uint8), minlength=256)

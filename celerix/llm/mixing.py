@@ -136,6 +136,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     ranked = ranked.withColumn("rank", F.col("before") + F.col("inside") + F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("draw", "doc_id")))
     copies = (F.floor(F.col("rate") * F.col("rank") + 0.5) - F.floor(F.col("rate") * (F.col("rank") - 1) + 0.5)).cast("long")
     ranked = stored(ranked.withColumn("copies", F.when(F.col("size") > 0, F.least(copies, F.lit(int(most)))).otherwise(F.lit(0).cast("long"))).drop("salt", "salts", "before", "inside"), "copies")
+    ranked = _closing_draws(ranked, int(most))
     shift = _closing_moves(ranked, int(most))
     if shift:
         moves = spark.createDataFrame(shift, "s string, r long, d long")
@@ -143,6 +144,26 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     return ranked.select("doc_id", "text_hash", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _closing_draws(ranked: DataFrame, most: int, passes: int = 4) -> DataFrame:
+    """Where documents too large to take leave a source over 1% off, one copy more or less of a hash-drawn share of its small ones."""
+    for k in range(passes):
+        sums = ranked.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"), F.first("target").alias("target")).collect()  # one row a source
+        gaps = {r["source"]: r["target"] - r["got"] for r in sums if abs(r["target"] - r["got"]) > 0.01 * r["target"] + 1}
+        if not gaps:
+            break
+        want = ranked.sparkSession.createDataFrame([(s, abs(g), 1 if g > 0 else -1) for s, g in gaps.items()], "s string, gap double, way long")
+        able = (F.col("copies") + F.col("way")).between(0, most) & (F.col("size") > 0) & (F.col("size") * 4 <= F.col("gap"))
+        joined = ranked.join(F.broadcast(want), ranked["source"].eqNullSafe(want["s"]), "left").withColumn("able", F.coalesce(able, F.lit(False)))
+        pool = {r["source"]: r["w"] for r in joined.filter("able").groupBy("source").agg(F.sum("size").alias("w")).collect()}
+        if not pool:
+            break
+        share = ranked.sparkSession.createDataFrame([(s, min(1.0, abs(gaps[s]) / w)) for s, w in pool.items()], "t string, share double")
+        drawn = F.col("able") & (F.pmod(F.xxhash64("draw", F.lit(k)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+        moved = joined.join(F.broadcast(share), joined["source"].eqNullSafe(share["t"]), "left").withColumn("copies", F.col("copies") + F.when(F.coalesce(drawn, F.lit(False)), F.col("way")).otherwise(0))
+        ranked = stored(moved.select(*ranked.columns), "copies")
+    return ranked
+
+
 def _closing_moves(ranked: DataFrame, most: int, passes: int = 3) -> list[tuple]:
     """(source, rank, +-1): for each source and pass, the document whose size is nearest to what is missing or too much."""
     sums = ranked.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"), F.first("target").alias("target")).collect()
