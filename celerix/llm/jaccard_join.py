@@ -32,7 +32,7 @@ from celerix.llm.common import WordHashes, mix64, pieces, remove, stored, text_b
 WIDTH = 5
 PERCENT = 80
 LEAST = 4  # the smallest set that can be like a different one: 4 of 5
-BUSY = 48  # sets of different components that may share a signature before it is skipped
+BUSY = 24  # pairs of different components, for each set of a signature, beyond which it is skipped
 BROADCAST_IDS = 1_000_000  # ids (16 bytes each) sent to every executor at most; more are joined by shuffle
 SEEN = 1_000_000  # set hashes remembered by a task, to post copies once
 
@@ -252,19 +252,34 @@ def deletion_posts(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np
     return segment, np.arange(len(segment)) >= m, subset_signature(value, segment, np.full(len(segment), band))
 
 
-def _deletion_pairs(short: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) among the sets of `short` (set_id, band), by one-deletion neighbourhoods bought at least cost."""
+def _across(rows: DataFrame) -> DataFrame:
+    """signature, a, b (a < b): the pairs of different components in each signature of rows (signature, set_id, component).
+
+    Components are paired first, so a large one costs its size times the sets beside it, not its square.
+    """
+    parts = rows.select("signature", "component").distinct()
+    two = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "signature").filter("ca < cb")
+    one = rows.select("signature", F.col("component").alias("ca"), F.col("set_id").alias("x"))
+    other = rows.select("signature", F.col("component").alias("cb"), F.col("set_id").alias("y"))
+    return two.join(one, ["signature", "ca"]).join(other, ["signature", "cb"]).select("signature", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _deletion_pairs(short: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of different components among the sets of `short` (set_id, band), by one-deletion
+    neighbourhoods bought at least cost. Signatures within one component are settled and cost nothing."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, band, s in zip(batch.column("set_id").to_pylist(), batch.column("band").to_pylist(), batch.column("shingles"), strict=True):
+            for name, component, band, s in zip(*(batch.column(c).to_pylist() for c in ("set_id", "component", "band")), batch.column("shingles"), strict=True):
                 segment, deleted, signature = deletion_posts(s.values.to_numpy().view(np.uint64), band)
                 n = len(segment)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.full(n, band, np.int32)), pa.array(segment.astype(np.int32)), pa.array(deleted), pa.array(signature)], ["set_id", "band", "segment", "deleted", "signature"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.full(n, component)), pa.array(np.full(n, len(s))), pa.array(np.full(n, band, np.int32)), pa.array(segment.astype(np.int32)), pa.array(deleted), pa.array(signature)], ["set_id", "component", "size", "band", "segment", "deleted", "signature"])
 
-    posts = stored(short.join(sets, "set_id").mapInArrow(post, "set_id long, band int, segment int, deleted boolean, signature long"), "deletions")
-    often = posts.groupBy("signature").agg(F.count_if(~F.col("deleted")).alias("whole"), F.count_if("deleted").alias("less")).filter("whole > 0 and whole + less > 1")
-    # a whole subset meets whole and deleted ones, a deleted one only whole ones; signatures of one set alone cost nothing
+    named = short.join(sets, "set_id").join(label.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "band", "shingles")
+    posts = stored(named.mapInArrow(post, "set_id long, component long, size long, band int, segment int, deleted boolean, signature long"), "deletions")
+    often = posts.groupBy("signature").agg(F.count_if(~F.col("deleted")).alias("whole"), F.count_if("deleted").alias("less"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    often = stored(often.filter("whole > 0 and lo <> hi").select("signature", "whole", "less"), "often")
+    # a whole subset meets whole and deleted ones, a deleted one only whole ones
     priced = posts.join(often, "signature", "left").withColumn("w", F.coalesce("whole", F.lit(0))).withColumn("l", F.coalesce("less", F.lit(0)))
     exact = F.sum(F.when(~F.col("deleted"), F.col("w"))).cast("double")
     near = F.sum(F.when(F.col("deleted"), F.col("w")).otherwise(F.col("w") + F.col("l"))).cast("double")
@@ -278,10 +293,17 @@ def _deletion_pairs(short: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.full(n, band, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(worth.astype(np.int32))], ["set_id", "band", "segment", "worth"])
 
     bought = prices.mapInArrow(buy, "set_id long, band int, segment int, worth int").filter("worth > 0")
-    asked = posts.join(bought, ["set_id", "band", "segment"]).filter("worth = 2 or not deleted").select(F.col("set_id").alias("q"), F.col("deleted").alias("qd"), F.col("worth"), "signature")
-    held = posts.join(often.select("signature"), "signature", "left_semi").select("set_id", "deleted", "signature")
-    met = asked.join(held, "signature").filter((F.col("q") != F.col("set_id")) & ~(F.col("qd") & F.col("deleted")) & ((F.col("worth") == 2) | ~F.col("deleted")))
-    return met.select(F.least("q", "set_id").alias("a"), F.greatest("q", "set_id").alias("b")).distinct()
+    live = posts.join(often.select("signature"), "signature", "left_semi")
+    asked = stored(live.join(bought, ["set_id", "band", "segment"]).filter("worth = 2 or not deleted").select("signature", "set_id", "component", "size", "deleted", "worth"), "asked")
+    # components first: which of them ask, and which hold what is asked
+    who = asked.groupBy("signature", F.col("component").alias("ca")).agg(F.max(F.when(~F.col("deleted"), F.col("worth")).otherwise(0)).alias("whole"), F.bool_or("deleted").alias("less"))
+    held = live.groupBy("signature", F.col("component").alias("cb")).agg(F.bool_or(~F.col("deleted")).alias("hw"), F.bool_or("deleted").alias("hd"))
+    two = who.join(held, "signature").filter((F.col("ca") != F.col("cb")) & (((F.col("whole") > 0) & F.col("hw")) | ((F.col("whole") == 2) & F.col("hd")) | (F.col("less") & F.col("hw")))).select("signature", "ca", "cb")
+    q = asked.select("signature", F.col("component").alias("ca"), F.col("set_id").alias("q"), F.col("size").alias("nq"), F.col("deleted").alias("dq"), "worth")
+    h = live.select("signature", F.col("component").alias("cb"), F.col("set_id").alias("h"), F.col("size").alias("nh"), F.col("deleted").alias("dh"))
+    fits = F.least("nq", "nh") * 100 >= F.greatest("nq", "nh") * PERCENT
+    met = two.join(q, ["signature", "ca"]).join(h, ["signature", "cb"]).filter(fits & ~(F.col("dq") & F.col("dh")) & ((F.col("worth") == 2) | ~F.col("dh")))
+    return met.select(F.least("q", "h").alias("a"), F.greatest("q", "h").alias("b")).distinct()
 
 
 def _skipped(info: DataFrame, busy: DataFrame | None = None) -> DataFrame:
@@ -312,13 +334,13 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     # buckets whose sets are not yet in one component: all pairs of different components, or skipped if busy
     named = shared.select("signature", "set_id").join(label.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    open_ = named.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("signature", "k")
+    parts = named.groupBy("signature", "component").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("signature").agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c")).filter("c > 1")
+    open_ = open_.select("signature", (F.col("k") * F.col("k") - F.col("q") > 2 * BUSY * F.col("k")).alias("busy"))
     mixed = stored(named.join(open_, "signature"), "mixed")
-    busy = mixed.filter(F.col("k") > BUSY).groupBy("set_id", _band().alias("band")).agg(F.count("*").alias("n"))
+    busy = mixed.filter("busy").groupBy("set_id", _band().alias("band")).agg(F.count("*").alias("n"))
     skipped = stored(_skipped(info, busy), "skipped")
-    left = mixed.filter(F.col("k") <= BUSY)
-    other = left.select("signature", F.col("set_id").alias("b"), F.col("component").alias("cb"))
-    met = left.select("signature", F.col("set_id").alias("a"), F.col("component").alias("ca")).join(other, "signature").filter("a < b and ca <> cb")
+    met = _across(mixed.filter("not busy").select("signature", "set_id", "component"))
     met = met.groupBy("a", "b", _band().alias("band")).agg(F.count("*").alias("n"))
     met = met.join(skipped.toDF("a", "band", "xa"), ["a", "band"], "left").join(skipped.toDF("b", "band", "xb"), ["b", "band"], "left")
     second = _alike(met.filter(F.col("n") + F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0))) > _slack()).select("a", "b").distinct(), sets)
@@ -326,10 +348,8 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     short = stored(skipped.filter(F.col("skip") > _slack()).select("set_id", "band"), "short")
     if not short.isEmpty():
-        near = _deletion_pairs(short, sets)
-        ca, cb = label.toDF("a", "ca"), label.toDF("b", "cb")
-        near = near.join(ca, "a", "left").join(cb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        links = links.union(_alike(near, sets))
+        links = stored(links, "links")
+        links = links.union(_alike(_deletion_pairs(short, sets, components(links)), sets))
     links = stored(links.distinct(), "links")
     return info, links, components(links)
 
