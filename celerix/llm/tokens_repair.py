@@ -13,8 +13,10 @@ of their text; a null doc_id comes first; an empty table gives no shards; other
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +32,77 @@ SHARD_TOKENS = 1 << 20
 MIN_COUNT = 24  # a pair this frequent in a shard becomes a rule
 PER_ROUND = 2048
 ROUNDS = 6
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
+
+
+#: letters whose lower case is one letter by rule, then signs that are neither letters, digits nor quotes: two pre-tokens at most
+_plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Numbers(dict):
+    """Words numbered as they are met; new ones wait in `fresh`."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
 
 
 class WordEncoder:
     """The tokenizer's ids of whole texts.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its space-separated words
-    in order; each distinct word goes through the library once while it is kept. Kept words are bounded.
+    in order; each distinct word goes through the library once while it is kept. A word of letters and signs after
+    them has two pre-tokens, whose ids come from the library's model at once; any other word goes through the whole
+    tokenizer. Kept words are bounded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = byte_letters()
+        self.parts: dict[str, list[int]] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()
         self.bounds = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
 
-    def learn(self, words: list[bytes]) -> None:
-        first, lists = len(self.known), [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+    def _part(self, text: str) -> list[int]:
+        ids = self.parts.get(text)
+        if ids is None:
+            if len(self.parts) > KNOWN_WORDS:
+                self.parts.clear()
+            shown = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
+            ids = self.parts[text] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return ids
+
+    def _learn(self, first: int, words: list[bytes]) -> None:
+        lists: list[list[int] | None] = []
+        odd: list[int] = []
+        for k, raw in enumerate(words):
+            found = _plain.fullmatch(raw.decode("utf-8", "replace"))
+            if found is None:
+                odd.append(k)
+                lists.append(None)
+            else:
+                ids = self._part(found[1].lower())
+                lists.append(ids + self._part(found[2]) if found[2] else ids)
+        for k, e in zip(odd, self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in odd], add_special_tokens=False), strict=True):
+            lists[k] = e.ids
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         at, need = self.bounds[first], int(sizes.sum())
         while len(self.bounds) < first + len(words) + 1:
@@ -60,20 +110,19 @@ class WordEncoder:
         while len(self.ids) < at + need:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.bounds[first + 1 : first + 1 + len(words)] = at + np.cumsum(sizes)
-        self.ids[at : at + need] = np.fromiter((x for ids in lists for x in ids), np.uint32, need)
-        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        self.ids[at : at + need] = np.fromiter(chain.from_iterable(lists), np.uint32, need)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, END after each, and the number of each text's ids."""
         words = [raw.split() for raw in texts]
         if len(self.known) > KNOWN_WORDS:
             self.reset()
-        fresh = list({w for x in words for w in x if w not in self.known})
-        if fresh:
-            self.learn(fresh)
-        known = self.known
+        first = len(self.known)
         per = np.fromiter(map(len, words), np.int64, len(words))
-        which = np.fromiter((known[w] for x in words for w in x), np.int64, int(per.sum()))
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(per.sum()))
+        if self.known.fresh:
+            self._learn(first, self.known.fresh)
+            self.known.fresh = []
         lo = self.bounds[which]
         size = self.bounds[which + 1] - lo
         ends = np.cumsum(size)

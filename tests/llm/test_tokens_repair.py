@@ -44,6 +44,20 @@ def test_round_trip_and_random_access(docs):
             assert np.array_equal(shard.ids(k, a, min(len(p), a + 9)), p[a : a + 9])
 
 
+def test_words_equal_the_whole_tokenizer(sf):
+    """Word by word and from the model's parts: the same ids as of whole texts."""
+    import pyarrow.parquet as pq
+
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = [t or "" for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    texts += ["it's We'LL x'd 'sup ''t don't", "a<|endoftext|>b <|startoftext|>", "Ünïcödé ÀÉ ß ÿ! Straße... ×÷ µ ª º", "ﬁ Ⅷ ½ x² İI ΣΑΣ σ", "e\u0301 \u0301 \u00a0x\u2003y \x1cz", "a1b2 ___ a_b -- (x) [y]{z}~`^", "語 日本 🙂🙂 \ud7ff"]
+    ids, sizes = T.encoder(PATH).encode([t.encode() for t in texts])
+    at = 0
+    for t, n in zip(texts, sizes.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, T.END], t[:80]
+        at += n
+
+
 def test_grammar_compresses():
     rng = np.random.default_rng(0)
     phrase = rng.integers(2, 49000, 12)
