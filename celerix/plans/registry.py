@@ -1,4 +1,27 @@
-"""All queries of the library proper, with their DuckDB twins."""
+"""All queries of the library proper by name, with the DuckDB SQL of those that SQL can express.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Figures are rounded to six places on both sides: sums of doubles depend on the order of addition.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+from celerix.plans import graphs, iterative, matrices, stores  # noqa: E402, F401
