@@ -34,6 +34,7 @@ PERCENT = 80
 LEAST = 4  # the smallest set that can be like a different one: 4 of 5
 BUSY = 24  # pairs of different components, for each set of a signature, beyond which it is skipped
 BROADCAST_IDS = 1_000_000  # ids (16 bytes each) sent to every executor at most; more are joined by shuffle
+PARITY_BITS = 1024
 SEEN = 1_000_000  # set hashes remembered by a task, to post copies once
 
 
@@ -196,7 +197,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Stored: set_id, shingles of each wanted (doc_id, set_id)."""
+    """Stored: set_id, shingles, parity of each wanted (doc_id, set_id)."""
     n = wanted.count()
     side = wanted.select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_set"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -208,17 +209,31 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for part in pieces(batch, "text", 2 << 20):
                 sets = document_sets(text_bytes(part.column("text")), hashes)
                 keep = [k for k, x in enumerate(part.column("_set").to_pylist()) if set_hash(sets[k]) == x]
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(sets[k]) for k in keep], pa.int64()), pa.array([sets[k].view(np.int64) for k in keep], pa.list_(pa.int64()))], ["set_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_hash(sets[k]) for k in keep], pa.int64()), pa.array([sets[k].view(np.int64) for k in keep], pa.list_(pa.int64())), pa.array([parity(sets[k]) for k in keep], pa.list_(pa.int64()))], ["set_id", "shingles", "parity"])
 
-    return stored(rows.mapInArrow(run, "set_id long, shingles array<long>"), "sets")
+    return stored(rows.mapInArrow(run, "set_id long, shingles array<long>, parity array<long>"), "sets")
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Of each of PARITY_BITS hash cells whether it holds an odd number of the set's shingles, as 64-bit words.
+
+    A cell whose bits differ in two sets holds a shingle of one of them alone, so the number of such cells is at most the size of the sets' difference.
+    """
+    cell = (mix64(s + np.uint64(99)) >> np.uint64(17)) % np.uint64(PARITY_BITS)
+    bits = (np.bincount(cell.astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Stored: the pairs (a, b) whose sets are alike."""
+    """Stored: the pairs (a, b) whose sets are alike. The parities rule most others out before whole sets are moved."""
+    bits = sets.select("set_id", F.size("shingles").alias("n"), "parity")
+    near = pairs.join(bits.toDF("a", "na", "pa"), "a").join(bits.toDF("b", "nb", "pb"), "b")
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + F.bit_count(x))
+    near = near.filter(apart * (100 + PERCENT) <= (F.col("na") + F.col("nb")) * (100 - PERCENT)).select("a", "b")
     one = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return stored(pairs.join(one, "a").join(two, "b").filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b"), "alike")
+    return stored(near.join(one, "a").join(two, "b").filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b"), "alike")
 
 
 def _band(signature: str = "signature") -> Column:
@@ -295,10 +310,14 @@ def _deletion_pairs(short: DataFrame, sets: DataFrame, label: DataFrame) -> Data
     bought = prices.mapInArrow(buy, "set_id long, band int, segment int, worth int").filter("worth > 0")
     live = posts.join(often.select("signature"), "signature", "left_semi")
     asked = stored(live.join(bought, ["set_id", "band", "segment"]).filter("worth = 2 or not deleted").select("signature", "set_id", "component", "size", "deleted", "worth"), "asked")
-    # components first: which of them ask, and which hold what is asked
+    # components first: which of them ask, and which hold what is asked; of two the one with fewer sets asks, as either finds all links between them
+    weight = named.groupBy("component").agg(F.count("*").alias("sets"))
+    heavy = lambda side, name: weight.toDF(side, name)
     who = asked.groupBy("signature", F.col("component").alias("ca")).agg(F.max(F.when(~F.col("deleted"), F.col("worth")).otherwise(0)).alias("whole"), F.bool_or("deleted").alias("less"))
     held = live.groupBy("signature", F.col("component").alias("cb")).agg(F.bool_or(~F.col("deleted")).alias("hw"), F.bool_or("deleted").alias("hd"))
-    two = who.join(held, "signature").filter((F.col("ca") != F.col("cb")) & (((F.col("whole") > 0) & F.col("hw")) | ((F.col("whole") == 2) & F.col("hd")) | (F.col("less") & F.col("hw")))).select("signature", "ca", "cb")
+    who, held = who.join(heavy("ca", "na"), "ca"), held.join(heavy("cb", "nb"), "cb")
+    asks = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ca") < F.col("cb")))
+    two = who.join(held, "signature").filter(asks & (((F.col("whole") > 0) & F.col("hw")) | ((F.col("whole") == 2) & F.col("hd")) | (F.col("less") & F.col("hw")))).select("signature", "ca", "cb")
     q = asked.select("signature", F.col("component").alias("ca"), F.col("set_id").alias("q"), F.col("size").alias("nq"), F.col("deleted").alias("dq"), "worth")
     h = live.select("signature", F.col("component").alias("cb"), F.col("set_id").alias("h"), F.col("size").alias("nh"), F.col("deleted").alias("dh"))
     fits = F.least("nq", "nh") * 100 >= F.greatest("nq", "nh") * PERCENT

@@ -69,6 +69,14 @@ def test_pigeonhole_bound():
             assert band in J.slots(np.array([large]))[1] and band in J.slots(np.array([small]))[1]
 
 
+def test_parity_never_overstates_the_difference():
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        a, b = (np.unique(rng.integers(0, 3000, int(rng.integers(0, 900))).astype(np.uint64)) for _ in range(2))
+        apart = sum(bin(int(x) & (2**64 - 1)).count("1") for x in J.parity(a) ^ J.parity(b))
+        assert apart <= len(np.setxor1d(a, b))
+
+
 def test_allocation_is_worth_enough():
     rng = np.random.default_rng(1)
     for _ in range(200):
