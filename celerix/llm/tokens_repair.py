@@ -35,8 +35,8 @@ ROUNDS = 6
 KNOWN_WORDS = 300_000
 
 
-#: letters whose lower case is one letter by rule, then signs that are neither letters, digits nor quotes: two pre-tokens at most
-_plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+#: lower-case words of letters whose pre-tokens are plain: the letters, then signs that are neither letters, digits nor apostrophes; other lines match whole
+_plain = re.compile(r"^([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)$|^.+$", re.M)
 
 
 def byte_letters() -> dict[int, str]:
@@ -82,25 +82,24 @@ class WordEncoder:
         self.ids = np.zeros(1 << 18, np.uint32)
 
     def _part(self, text: str) -> list[int]:
-        ids = self.parts.get(text)
-        if ids is None:
-            if len(self.parts) > KNOWN_WORDS:
-                self.parts.clear()
-            shown = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-            ids = self.parts[text] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        if len(self.parts) > KNOWN_WORDS:
+            self.parts.clear()
+        shown = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
+        ids = self.parts[text] = [t.id for t in self.tokenizer.model.tokenize(shown)]
         return ids
 
     def _learn(self, first: int, words: list[bytes]) -> None:
-        lists: list[list[int] | None] = []
+        lists: list[list[int]] = []
         odd: list[int] = []
-        for k, raw in enumerate(words):
-            found = _plain.fullmatch(raw.decode("utf-8", "replace"))
-            if found is None:
-                odd.append(k)
-                lists.append(None)
+        add, get, part = lists.append, self.parts.get, self._part
+        for base, signs in _plain.findall(b"\n".join(words).decode("utf-8", "replace").lower()):
+            if not base:
+                odd.append(len(lists))
+                add([])
+            elif signs:
+                add((get(base) or part(base)) + (get(signs) or part(signs)))
             else:
-                ids = self._part(found[1].lower())
-                lists.append(ids + self._part(found[2]) if found[2] else ids)
+                add(get(base) or part(base))
         for k, e in zip(odd, self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in odd], add_special_tokens=False), strict=True):
             lists[k] = e.ids
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -144,6 +143,10 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
+
+
 def repair(ids: np.ndarray, min_count: int = MIN_COUNT, per_round: int = PER_ROUND, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, int]:
     """(sequence, rules n x 2, first nonterminal): Re-Pair in rounds.
 
@@ -173,8 +176,11 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT, per_round: int = PER_ROU
             keys, count = keys[best], count[best]
         rank = np.empty(len(keys), np.int64)
         rank[np.argsort(-count, kind="stable")] = np.arange(len(keys), 0, -1)  # the highest for the most frequent
-        at = np.searchsorted(keys, pair)
-        at[at == len(keys)] = 0
+        # each pair's key by hash; of keys that share a slot the most frequent keeps it, the others wait for the next round
+        table = np.zeros(1 << 20, np.int32)
+        order = np.argsort(rank, kind="stable")
+        table[_slot(keys[order])] = order
+        at = table[_slot(pair)]
         found = keys[at] == pair
         priority = np.zeros(len(pair) + 2, np.int64)
         priority[1:-1] = np.where(found, rank[at], 0)
