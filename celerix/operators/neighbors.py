@@ -94,9 +94,13 @@ def nn_descent(vecs: DataFrame, k: int, iterations: int = 6, seed: int = 0) -> D
     n = vecs.count()
     width = min(2 * k, n - 1)
     ids = vecs.select("obs_id")
-    slots = max(2, int(np.ceil(n / (2 * width + 2))))
-    start = ids.withColumn("s", F.pmod(F.xxhash64("obs_id", F.lit(seed)), F.lit(slots)))
-    pairs = start.join(start.toDF("nbr_id", "s"), "s").filter("obs_id <> nbr_id").select("obs_id", "nbr_id")
+    # two partings into random cells that cross each other, so that neighbours of neighbours lead out of a cell
+    slots = max(1, int(np.ceil(n / (width + 1))))
+    pairs = None
+    for turn in range(2):
+        start = ids.withColumn("s", F.pmod(F.xxhash64("obs_id", F.lit(2 * seed + turn)), F.lit(slots)))
+        met = start.join(start.toDF("nbr_id", "s"), "s").filter("obs_id <> nbr_id").select("obs_id", "nbr_id")
+        pairs = met if pairs is None else pairs.union(met)
     left, right = vecs.toDF("obs_id", "v"), vecs.toDF("nbr_id", "w")
     dist = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
 
