@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 256 << 20  # matrices sent to every executor are at most this large
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,3 +39,22 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df marked for broadcast if it has at most `rows` rows; as it is otherwise."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once an application, wherever they start."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="celerix-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "celerix_code.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for top, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(top, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(target)
