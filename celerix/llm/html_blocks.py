@@ -27,7 +27,7 @@ from celerix.llm.common import pieces
 
 PATH, WORDS, DENSE, HIDDEN = 64, 24, 6, 20
 INPUT = PATH + WORDS + DENSE
-PAGES, STEPS, SEED = 64, 160, 6
+WRITTEN, PAGES, STEPS, SEED = 1600, 48, 280, 6  # pages written for training, pages a step, steps, seed
 
 #: Tags that stand inside a block; tags whose content is no text; tags without content; tags that end an open p.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -218,10 +218,14 @@ class Labeller:
         return loss, grad
 
     def fit(self, pages: Iterator[tuple[list[Block], list[int]]], steps: int = STEPS) -> Labeller:
+        """Adam over batches of pages of like length, from a set of WRITTEN pages."""
+        written = sorted(((vectors(found), labels) for found, labels in (next(pages) for _ in range(WRITTEN))), key=lambda p: len(p[1]))
+        rng = np.random.default_rng(SEED)
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            batch = [next(pages) for _ in range(PAGES)]
-            x, mask = padded([vectors(b) for b, _ in batch])
+            at = int(rng.integers(0, max(1, len(written) - PAGES + 1)))
+            batch = written[at : at + PAGES]
+            x, mask = padded([v for v, _ in batch])
             y = np.zeros(mask.shape, np.float32)
             for k, (_, labels) in enumerate(batch):
                 y[: len(labels), k] = labels
