@@ -30,8 +30,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; what is there when the driver's Python ends goes, if this machine can reach it."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    return path
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
