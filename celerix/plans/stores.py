@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from celerix.plans import sql
 from celerix.plans.registry import query
-from celerix.session import shared_root
+from celerix.session import fresh
 from celerix.sources import store, tables
 from celerix.streaming import incremental
 
 
 @query(f"WITH {sql.BASKETS} SELECT obs_id, var_id, value FROM x")
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_root(spark)}/store-{uuid.uuid4().hex}"
+    path = fresh(spark, "store")
     store.write_store(tables.baskets(spark, sf_dir), path, block_rows=50)
     return store.open_store(spark, path).x.select("obs_id", "var_id", "value")
 

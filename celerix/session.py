@@ -29,9 +29,16 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; what is there when the driver's Python ends goes, if this machine can reach it."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: the lineage ends, and a lost executor loses nothing."""
-    path = f"{shared_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

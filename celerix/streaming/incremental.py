@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celerix.session import shared_root
+from celerix.session import fresh
 
 
 def entries(stream: DataFrame) -> DataFrame:
@@ -22,7 +20,7 @@ def windowed_counts(stream: DataFrame, late: str = "1 hour", width: str = "1 hou
 
 def qc_of_stream(spark: SparkSession, path: str) -> DataFrame:
     """obs_id, total_counts, n_genes_by_counts after the files at `path` have streamed through to the end."""
-    folder = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    folder = fresh(spark, "stream")
     schema = spark.read.parquet(path).schema
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
