@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,7 +33,7 @@ SHARD_TOKENS = 1 << 20
 MIN_COUNT = 24  # a pair this frequent in a shard becomes a rule
 PER_ROUND = 2048
 ROUNDS = 6
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 
 
 #: lower-case words of letters whose pre-tokens are plain: the letters, then signs that are neither letters, digits nor apostrophes; other lines match whole
@@ -73,7 +74,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = byte_letters()
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}  # ids as 4-byte numbers
         self.reset()
 
     def reset(self) -> None:
@@ -81,35 +82,35 @@ class WordEncoder:
         self.bounds = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
 
-    def _part(self, text: str) -> list[int]:
+    def _part(self, text: str) -> bytes:
         if len(self.parts) > KNOWN_WORDS:
             self.parts.clear()
         shown = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-        ids = self.parts[text] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        ids = self.parts[text] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         return ids
 
     def _learn(self, first: int, words: list[bytes]) -> None:
-        lists: list[list[int]] = []
+        lists: list[bytes] = []
         odd: list[int] = []
         add, get, part = lists.append, self.parts.get, self._part
         for base, signs in _plain.findall(b"\n".join(words).decode("utf-8", "replace").lower()):
             if not base:
                 odd.append(len(lists))
-                add([])
+                add(b"")
             elif signs:
                 add((get(base) or part(base)) + (get(signs) or part(signs)))
             else:
                 add(get(base) or part(base))
         for k, e in zip(odd, self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in odd], add_special_tokens=False), strict=True):
-            lists[k] = e.ids
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            lists[k] = array("I", e.ids).tobytes()
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
         at, need = self.bounds[first], int(sizes.sum())
         while len(self.bounds) < first + len(words) + 1:
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
         while len(self.ids) < at + need:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.bounds[first + 1 : first + 1 + len(words)] = at + np.cumsum(sizes)
-        self.ids[at : at + need] = np.fromiter(chain.from_iterable(lists), np.uint32, need)
+        self.ids[at : at + need] = np.frombuffer(b"".join(lists), np.uint32)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, END after each, and the number of each text's ids."""
