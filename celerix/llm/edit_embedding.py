@@ -31,6 +31,8 @@ BITS = 128
 PERIOD = 4096  # steps after which the walk's random bits repeat
 CLASSES = 256  # characters share random bits by class
 BAND = 16  # bits of a band
+BLOCK = 512  # classes of a bucket, about, that meet as many others in one task
+GRAM = 4  # characters of the runs that are counted before an edit distance is computed
 EMPTY = "-"
 
 _step = np.arange(2 * PERIOD, dtype=np.uint64)
@@ -265,14 +267,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def bands_of(fingerprint: str) -> list[str]:
-    """Band keys: BAND sampled bits at a time, for each scale; masked bits are zero."""
+    """Band keys: BAND sampled bits at a time, for each scale; masked bits are zero, and a band of masked bits alone has no key."""
     if fingerprint == EMPTY:
         return []
     size = BAND // 4
     out = []
     q, one, two = fingerprint.split(":")
-    for scale, bits in ((int(q), one), (int(q) + 1, two[len(two) // 2 :])):
-        out += [f"{scale}/{k // size}/{bits[k : k + size]}" for k in range(0, len(bits), size)]
+    half = len(two) // 2
+    for scale, mask, bits in ((int(q), "f" * len(one), one), (int(q) + 1, two[:half], two[half:])):
+        out += [f"{scale}/{k // size}/{bits[k : k + size]}" for k in range(0, len(bits), size) if mask[k : k + size].strip("0")]
     return out
 
 
@@ -311,25 +314,50 @@ def _slide(x: np.ndarray, y: np.ndarray, i: int, d: int) -> int:
     return i
 
 
+def few_grams_shared(x: np.ndarray, y: np.ndarray, most: int) -> bool:
+    """Whether the texts share fewer runs of GRAM characters than `most` edits could leave: an edit touches GRAM runs at most."""
+    need = max(len(x), len(y)) - GRAM + 1 - GRAM * most
+    if need <= 0:
+        return False
+    counts = []
+    for c in (x, y):
+        n = len(c) - GRAM + 1
+        if n <= 0:
+            return True
+        run = np.zeros(n, np.uint64)
+        for k in range(GRAM):
+            run = mix64(run + c[k : n + k].astype(np.uint64) + np.uint64(k + 1))
+        counts.append(np.unique(run, return_counts=True))
+    (a, na), (b, nb) = counts
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(na[i], nb[j]).sum()) < need
+
+
 def near_pairs(docs: DataFrame, share: float = 0.05) -> DataFrame:
-    """a, b, distance: pairs of texts with an equal band whose edit distance is at most `share` of the longer one's length.
+    """a, b, distance: all pairs of texts with an equal band whose edit distance is at most `share` of the longer one's length.
 
-    Equal texts are one class, named by its least doc_id; pairs are between class names. In a bucket every class is
-    paired with the least one, and with its neighbours in order of the fingerprint, so a bucket gives as many pairs as
-    it has classes, not their square.
+    Equal texts are one class, named by its least doc_id; pairs are between classes, the lesser name first (a null before
+    all). Every pair of a bucket whose lengths allow it is verified: a bucket is cut into blocks of about BLOCK classes by
+    hash, and each two blocks meet in a task of their own.
     """
-    from pyspark.sql.window import Window as W
-
-    prints = fingerprints(docs).filter(F.col("fingerprint") != EMPTY)
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    classes = stored(body.filter("length(text) > 0").withColumn("hash", F.sha2("text", 256)).groupBy("hash").agg(F.min("doc_id").alias("doc_id")), "classes")
-    prints = stored(prints.join(classes.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "prints")
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
+    classes = body.withColumn("hash", F.sha2("text", 256)).groupBy("hash").agg(F.min("doc_id").alias("name"), F.first("text").alias("text"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "name", "text"), "classes")
+    prints = fingerprints(classes.select(F.col("class").alias("doc_id"), "text")).withColumnRenamed("doc_id", "class")
     keys = F.udf(bands_of, "array<string>")
-    posts = prints.select("doc_id", "fingerprint", F.explode(keys("fingerprint")).alias("band"))
-    order = W.partitionBy("band").orderBy("fingerprint", "doc_id")
-    met = posts.select("doc_id", F.lag("doc_id").over(order).alias("before"), F.min("doc_id").over(W.partitionBy("band")).alias("least"))
-    pairs = met.select("doc_id", F.explode(F.array("before", "least")).alias("o")).filter("o is not null and o <> doc_id").select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b")).distinct()
-    one = body.toDF("a", "ta").join(classes.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    two = body.toDF("b", "tb").join(classes.select(F.col("doc_id").alias("b")), "b", "left_semi")
-    distance = F.udf(lambda x, y: edit_distance(x, y, int(share * max(len(x), len(y)))), "int")
-    return pairs.join(one, "a").join(two, "b").withColumn("distance", distance("ta", "tb")).filter("distance is not null").select("a", "b", "distance")
+    posts = stored(prints.select("class", "n_chars", F.explode(keys("fingerprint")).alias("band")), "posts")
+    sizes = posts.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("k")).filter("k > 1")
+    posts = posts.join(sizes.drop("k"), "band").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    one = posts.select("band", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("class").alias("x"), F.col("n_chars").alias("nx"))
+    two = posts.select("band", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("class").alias("y"), F.col("n_chars").alias("ny"))
+    fits = F.abs(F.col("nx") - F.col("ny")) <= F.floor(F.lit(float(share)) * F.greatest("nx", "ny"))
+    met = one.join(two, ["band", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & fits)
+    pairs = stored(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    text = lambda side: classes.select(F.col("class").alias(side), F.struct("name", "class").alias("n" + side), F.col("text").alias("t" + side))
+
+    def verify(x: str, y: str) -> int | None:
+        most = int(share * max(len(x), len(y)))
+        return None if few_grams_shared(_codes(x), _codes(y), most) else edit_distance(x, y, most)
+
+    found = pairs.join(text("x"), "x").join(text("y"), "y").withColumn("distance", F.udf(verify, "int")("tx", "ty")).filter("distance is not null")
+    return found.select(F.least("nx", "ny")["name"].alias("a"), F.greatest("nx", "ny")["name"].alias("b"), "distance")

@@ -74,3 +74,34 @@ def test_edit_distance():
         a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(9))) for _ in range(2))
         d = slow(a, b)
         assert E.edit_distance(a, b, 9) == d and (d == 0 or E.edit_distance(a, b, d - 1) is None)
+
+
+def test_a_group_of_many_near_copies_gives_all_its_pairs(spark, monkeypatch):
+    """30 near copies, a text under a used id and two without: every pair with an equal band is found, in blocks or not."""
+    rng = random.Random(3)
+    base = [rng.choice("abcdefgh ") for _ in range(500)]
+    rows = [(k, "".join(rng.choice("xyz") if rng.random() < 0.012 else c for c in base)) for k in range(30)]
+    rows += [(3, "".join(base)), (None, "".join(base[:-3])), (None, "".join(base[2:])), (40, rows[7][1]), (50, "".join(rng.choice("abcdefgh ") for _ in range(500))), (51, ""), (52, None)]
+    texts = sorted({t for _, t in rows if t})
+    name = {t: min((d for d, u in rows if u == t and d is not None), default=None) for t in texts}
+    bands = {t: set(E.bands_of(E.fingerprints_of([t])[0])) for t in texts}
+    want = []
+    for i, x in enumerate(texts):
+        for y in texts[:i]:
+            d = E.edit_distance(x, y, int(0.05 * max(len(x), len(y)))) if bands[x] & bands[y] else None
+            if d is not None:
+                want.append((*sorted((name[x], name[y]), key=lambda v: (v is not None, v or 0)), d))
+    order = lambda rs: sorted(rs, key=str)
+    assert len(want) > 400
+    for block in (512, 5):
+        monkeypatch.setattr(E, "BLOCK", block)
+        assert order(tuple(r) for r in E.near_pairs(docs_of(spark, rows)).collect()) == order(want)
+
+
+def test_gram_count_rules_out_no_near_text():
+    rng = random.Random(4)
+    for _ in range(300):
+        x = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 60)))
+        y = "".join(c for c in x if rng.random() > 0.05) + rng.choice(["", "a", "bc"])
+        d = E.edit_distance(x, y, 100)
+        assert not E.few_grams_shared(E._codes(x), E._codes(y), d)
