@@ -10,7 +10,8 @@ signature), and each set buys, at the least total frequency, segments matched ex
 (worth 2) until they are worth H(j) + 1, which again no like pair can miss. Candidates are verified on the whole sets.
 
 Equal sets are one class from the start (64-bit set hash). In a bucket of k sets first only the pairs with its least set are verified;
-buckets whose sets are then in one component are settled, and the others give the pairs of different components.
+buckets whose sets are then in one component are settled, and the others give the pairs of different components. That
+gives the components; all_links then verifies the candidates within each of them, as like sets are in one.
 
 Defined cases: null, empty and wordless texts have the empty set and link with nothing; fewer than 5 words are one
 shingle; repeated rows link; two rows of one doc_id are two documents with that id, and their component_id is the same
@@ -331,9 +332,10 @@ def _skipped(info: DataFrame, busy: DataFrame | None = None) -> DataFrame:
     return (rows if busy is None else rows.unionByName(busy)).groupBy("set_id", "band").agg(F.sum("n").alias("skip"))
 
 
-def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(info, links, labels): info has doc_id, n_shingles, set_id by row; links (a, b) between set ids, a spanning part
-    of all of them; labels the component of each linked set id.
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(info, links, labels, shared, sets): info has doc_id, n_shingles, set_id by row; links (a, b) between set ids, a
+    spanning part of all of them; labels the component of each linked set id; shared the signatures of more than one set
+    and sets the shingles of all sets that can have a link.
 
     Like sets share slack + 1 identical segments at least in the smaller one's band, so a pair that shares fewer
     signatures than that, less the segments that one of the two skips there, is not verified.
@@ -370,25 +372,62 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         links = stored(links, "links")
         links = links.union(_alike(_deletion_pairs(short, sets, components(links)), sets))
     links = stored(links.distinct(), "links")
-    return info, links, components(links)
+    return info, links, components(links), shared, sets
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id and n_links (sets that the document's set is verified to be like) of every row.
+def all_links(info: DataFrame, label: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stored: every link (a, b) between set ids, a < b, from the parts that jaccard_links returns.
 
-    n_links counts verified links; inside a component links that others imply may be unverified.
+    Like sets are in one component, so candidates are pairs within one: those that share enough signatures, counting a
+    segment that both may have empty as shared. No signature is too busy here. Where a component has fewer pairs than
+    its signatures have, all its pairs are verified instead.
     """
-    info, links, label = jaccard_links(docs)
-    counts = links.select("a", "b").union(links.select("b", "a")).toDF("s", "o").groupBy("s").agg(F.count("*").alias("n_links"))
+    named = label.withColumnRenamed("id", "set_id")
+    posts = shared.select("signature", "set_id").join(named, "set_id")
+    square = F.col("n") * (F.col("n") - 1) / 2
+    by_posts = posts.groupBy("component", "signature").agg(F.count("*").alias("n")).groupBy("component").agg(F.sum(square).alias("met"))
+    by_size = named.groupBy("component").agg(F.count("*").alias("n")).select("component", square.alias("pairs"))
+    dense = stored(by_size.join(by_posts, "component", "left").select("component", (F.col("pairs") <= F.coalesce("met", F.lit(0))).alias("dense")), "dense")
+
+    def meet(rows: DataFrame, on: list[str]) -> DataFrame:
+        return rows.withColumnRenamed("set_id", "a").join(rows.withColumnRenamed("set_id", "b"), on).filter("a < b")
+
+    whole = meet(named.join(dense.filter("dense").select("component"), "component"), ["component"]).select("a", "b")
+    sparse = dense.filter("not dense").select("component")
+    skipped = _skipped(info).join(named, "set_id").join(sparse, "component")
+    met = meet(posts.join(sparse, "component"), ["signature", "component"]).groupBy("a", "b", _band().alias("band")).agg(F.count("*").alias("n"))
+    empty = skipped.select("set_id", "band", "skip")
+    met = met.join(empty.toDF("a", "band", "xa"), ["a", "band"], "left").join(empty.toDF("b", "band", "xb"), ["b", "band"], "left")
+    met = met.filter(F.col("n") + F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0))) > _slack()).select("a", "b")
+    short = meet(skipped.filter(F.col("skip") > _slack()).select("set_id", "band", "component"), ["band", "component"]).select("a", "b")
+    return _alike(whole.union(met).union(short).distinct(), sets.dropDuplicates(["set_id"]))
+
+
+def _classed(info: DataFrame, label: DataFrame) -> DataFrame:
+    """info with class, the component of the row's set or the set itself (null for the empty set), and component_id."""
     named = info.join(label.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("class", F.coalesce("component", "set_id"))
     least = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "class", "left").join(counts, F.col("set_id") == F.col("s"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "set_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return named.join(least, "class", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+
+
+def component_ids(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; not all links are needed for these."""
+    info, _, label, _, _ = jaccard_links(docs)
+    return _classed(info, label).select("doc_id", "n_shingles", "component_id")
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, set_id and n_links (other sets that the document's set is like, all of them) of every row."""
+    info, _, label, shared, sets = jaccard_links(docs)
+    links = all_links(info, label, shared, sets)
+    counts = links.select("a", "b").union(links.select("b", "a")).toDF("s", "o").groupBy("s").agg(F.count("*").alias("n_links"))
+    out = _classed(info, label).join(counts, F.col("set_id") == F.col("s"), "left")
+    return out.select("doc_id", "n_shingles", "component_id", "set_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, unchanged, that have no like row with a smaller doc_id; of equal ids one row stays."""
-    found = stored(link_components(docs), "components")
+    found = stored(component_ids(docs), "components")
     kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
     if found.groupBy("doc_id").count().filter("count > 1").isEmpty():

@@ -25,7 +25,7 @@ def op3_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.component_ids(table(spark, sf_dir, "documents"))
 
 
 def op5_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,40 @@ def test_keep_one_and_empty(spark, corpus):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == sorted((x is None, x or 0) for x in names)
     none = docs.limit(0)
     assert J.link_components(none).count() == 0 and J.keep_one(none).count() == 0
+
+
+def brute_links(rows):
+    """Of each row the number of other shingle sets that its own is like."""
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(_fold))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    other = set(sets) - {frozenset()}
+    return Counter((r[0], sum(t != s and 100 * len(s & t) >= 80 * len(s | t) for t in other) if s else 0) for r, s in zip(rows, sets, strict=True))
+
+
+def links_of(df):
+    return Counter((r["doc_id"], r["n_links"]) for r in df.collect())
+
+
+def test_all_links_of_near_copies(spark, corpus):
+    """A group of 40 near copies, a chain whose ends are unlike, sets of few shingles and the corpus: n_links counts every link."""
+    rng = random.Random(6)
+    base = [f"g{k}" for k in range(200)]
+    rows = [(2000 + k, " ".join([*base[:-4], *(f"x{rng.randrange(40)}" for _ in range(rng.choice([2, 4, 12])))])) for k in range(40)]
+    chain = [f"c{k}" for k in range(60)]
+    for k in range(25):
+        chain[k * 2] = f"d{k}"
+        rows.append((3000 + k, " ".join(chain[k:])))
+    rows += [(4000 + 10 * a + b, " ".join(f"s{a}x{k}" for k in range(8 + b))) for a in range(6) for b in range(4)]
+    want = brute_links(rows)
+    assert max(n for _, n in want) > 25
+    assert links_of(J.link_components(docs_of(spark, rows))) == want
+    assert links_of(J.link_components(docs_of(spark, corpus))) == brute_links(corpus)
+
+
+def test_all_links_by_signatures(spark):
+    """A long chain, where the signatures give fewer pairs than the component has."""
+    w = [f"c{k}" for k in range(700)]
+    rows = [(k, " ".join(w[4 * k : 4 * k + 60])) for k in range(150)]
+    assert links_of(J.link_components(docs_of(spark, rows))) == brute_links(rows)
