@@ -62,6 +62,11 @@ def remainder(doc_id: Column | str, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
+def text_id() -> Column:
+    """A 64-bit hash of the text column: rows that share a doc_id, or have none, are told apart by it."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text of an Arrow string column; null gives b''."""
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]

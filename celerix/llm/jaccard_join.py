@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from celerix.llm.common import WordHashes, mix64, pieces, remove, stored, text_bytes
+from celerix.llm.common import WordHashes, mix64, pieces, remove, stored, text_bytes, text_id
 
 WIDTH = 5
 PERCENT = 80
@@ -117,7 +117,7 @@ def subset_signature(total: np.ndarray, segment: np.ndarray, band: np.ndarray) -
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """Stored: doc_id, n_shingles, set_id, bands, empties, and the signatures where this task meets the set first."""
+    """Stored: doc_id, text_id, n_shingles, set_id, bands, empties, and the signatures where this task meets the set first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
@@ -141,10 +141,10 @@ def _signed(docs: DataFrame) -> DataFrame:
                 bounds = np.zeros(len(ids) + 1, np.int32)
                 np.add.at(bounds, np.array(fresh, np.int64)[doc[of]] + 1 if len(of) else np.zeros(0, np.int64), 1)
                 posted = pa.ListArray.from_arrays(pa.array(np.cumsum(bounds, dtype=np.int32)), pa.array(signature))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int32())), pa.array(empties, pa.list_(pa.int32())), posted], ["doc_id", "n_shingles", "set_id", "bands", "empties", "posted"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int32())), pa.array(empties, pa.list_(pa.int32())), posted], ["doc_id", "text_id", "n_shingles", "set_id", "bands", "empties", "posted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, n_shingles long, set_id long, bands array<int>, empties array<int>, posted array<long>"), "signed")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("text_id"), F.col("text").cast("string").alias("text"))
+    return stored(rows.mapInArrow(run, "doc_id long, text_id long, n_shingles long, set_id long, bands array<int>, empties array<int>, posted array<long>"), "signed")
 
 
 def _shared(posts: DataFrame) -> DataFrame:
@@ -333,7 +333,7 @@ def _skipped(info: DataFrame, busy: DataFrame | None = None) -> DataFrame:
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(info, links, labels, shared, sets): info has doc_id, n_shingles, set_id by row; links (a, b) between set ids, a
+    """(info, links, labels, shared, sets): info has doc_id, text_id, n_shingles, set_id by row; links (a, b) between set ids, a
     spanning part of all of them; labels the component of each linked set id; shared the signatures of more than one set
     and sets the shingles of all sets that can have a link.
 
@@ -426,10 +426,18 @@ def link_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, unchanged, that have no like row with a smaller doc_id; of equal ids one row stays."""
-    found = stored(component_ids(docs), "components")
-    kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return rows
-    return rows.dropDuplicates(["doc_id"])
+    """The rows of docs, unchanged, but of like rows only one: that with the least doc_id (a null after all others), then
+    the least text_id; of several with both equal any. Rows with the empty set are like nothing and all stay."""
+    info, _, label, _, _ = jaccard_links(docs)
+    found = stored(_classed(info, label).select("doc_id", "text_id", "class"), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id")
+    best = found.filter("class is not null").groupBy("class").agg(F.min(rank).alias("r")).select("class", F.col("r.doc_id").alias("_id"), F.col("r.text_id").alias("_text"))
+    # one text has one class, so a key is that of one class or of the empty set
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_id") == F.col("_text"))
+    copies = found.join(best, "class").filter(same).groupBy("_id", "_text").agg((F.count("*") > 1).alias("_copies"))
+    wordless = found.filter("class is null").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text")).distinct().withColumn("_copies", F.lit(False))
+    kept = stored(copies.union(wordless), "kept")
+    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_id() == F.col("_text")))
+    if kept.filter("_copies").isEmpty():
+        return rows.select(docs.columns)
+    return rows.filter("not _copies").select(docs.columns).union(rows.filter("_copies").dropDuplicates(["_id", "_text"]).select(docs.columns))

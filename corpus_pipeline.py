@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from celerix.llm import decontaminate, jaccard_join, language_ppm, mixing, tokens_repair
-from celerix.llm.common import stored, table
+from celerix.llm.common import stored, table, text_id
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages are a twentieth or more go."""
-    leaks = stored(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")), "leaks").filter("contaminated").select(F.col("doc_id").alias("_id"))
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    # judged by the text alone, so named by it: a doc_id may be missing or that of other texts too
+    named = docs.select(text_id().alias("doc_id"), "text")
+    leaks = stored(decontaminate.contamination(named, table(spark, sf_dir, "benchmark")), "leaks").filter("contaminated").select(F.col("doc_id").alias("_text"))
+    return docs.join(leaks, text_id() == F.col("_text"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """run() against the stages' brute-force twins, and the guard around the folder."""
 
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from celerix.llm import language_ppm
+from celerix.llm import jaccard_join, language_ppm
+from celerix.llm.decontaminate import words_of
 from tokenizers import Tokenizer
 
+from .conftest import docs_of
 from .test_decontaminate import brute as brute_leaks
 from .test_jaccard_join import brute as brute_groups
 
@@ -40,3 +43,18 @@ def test_stages_keep_the_columns(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "benchmark_leaks", "mix", "tokens"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf).columns == docs.columns
+
+
+def test_rows_without_or_with_a_common_id_are_judged_by_their_text(spark, sf):
+    """Only copies and leaks go, whatever the ids of unlike texts are."""
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(40))
+    clean = [(None, text(k)) for k in range(5)] + [(7, text(10)), (7, text(11)), (8, text(12))]
+    wordless = [(None, None), (None, None), (7, " "), (7, "")]
+    copies = [(None, text(0)), (7, text(10)), (9, text(10) + " more"), (8, text(12).upper())]
+    got = jaccard_join.keep_one(docs_of(spark, clean + wordless + copies))
+    assert got.columns == docs_of(spark, clean).columns
+    kept = Counter((r["doc_id"], (r["text"] or "").lower()) for r in got.collect())
+    assert kept == Counter((d, t or "") for d, t in clean + wordless)
+    item = next(r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(words_of((r["text"] or "").encode())) >= 13)
+    left = corpus_pipeline.benchmark_leaks(spark, docs_of(spark, clean + wordless + [(None, item), (7, item)]), sf)
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(clean + wordless)
