@@ -36,7 +36,12 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 CLOSES_P = set("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_tag = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(s for s in SILENT if s != "head") + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S | re.I)
+TO_THE_END = {"script", "style", "textarea", "title"}  # of the silent tags, those that run to the page's end where nothing closes them
+EMPTY_IF_SLASHED = {"svg", "math"}
+
+_attributes = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
+_tag = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(s for s in SILENT if s != "head") + r")(?=[\s/>])(?:(" + _attributes + r")>|[^>]*>)|<(/?)([a-zA-Z][^\s/>]*)(" + _attributes + r")/?>|<[!?][^>]*>", re.S | re.I)
+_close = {s: re.compile(rf"</{s}\s*>", re.I) for s in SILENT}
 _named = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _token = re.compile(r"[a-zA-Z]+")
 
@@ -78,18 +83,30 @@ def blocks(page: str) -> list[Block]:
         if any(t == "a" for t, _ in stack):
             linked += len(text.strip())
 
-    for m in _tag.finditer(page):
+    unclosed: set[str] = set()  # silent tags that nothing closes from here on
+    while m := _tag.search(page, at):
         say(page[at : m.start()])
         at = m.end()
-        name = m[3]
-        if name is None:
-            if m[1] is not None:
+        name = m[4]
+        if m[1] is not None:
+            name = m[1].lower()
+            end = None
+            if name in EMPTY_IF_SLASHED and (m[2] or "").endswith("/"):
+                end = at
+            elif name not in unclosed:
+                close = _close[name].search(page, at)
+                end = close.end() if close else len(page) if name in TO_THE_END else None
+            if end is not None:
+                at = end
                 parts.append(" ") if parts else None
+                continue
+            unclosed.add(name)
+        if name is None:
             continue
         name = name.lower()
         if name not in INLINE:
             cut()
-        if m[2]:
+        if m[3]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
@@ -114,8 +131,8 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
                     break
         words = [name]
-        if m[4]:
-            words += [f".{t.lower()}" for g in _named.findall(m[4]) for t in _token.findall("".join(g))]
+        if attributes := m[5] or m[2]:
+            words += [f".{t.lower()}" for g in _named.findall(attributes) for t in _token.findall("".join(g))]
         stack.append((name, tuple(words)))
     say(page[at:])
     cut()

@@ -15,6 +15,19 @@ def test_blocks():
     assert paths == [("div", ".side", ".bar", "p"), ("div", ".side", ".bar", "p", ".x"), ("p",)]
 
 
+@pytest.mark.parametrize("tag", ["<svg-icon name=x></svg-icon>", "<video-player>", "<select-box>", "<title-bar></title-bar>", "<svg width='1' />", '<svg aria-label="a>b"/>', "<math/>", "<video src=x>", "<iframe src=x>", "<SVG>"])
+def test_what_follows_a_tag_that_nothing_closes_is_read(tag):
+    assert texts(f"<p>one<p>{tag}</p><p>two</p><svg><text>no</text></svg><p>three") == (["one", "three"] if tag == "<SVG>" else ["one", "two", "three"])
+    assert texts(f"<p>one</p>{tag}<p>two</p><p>three") == ["one", "two", "three"]
+
+
+def test_silent_tags_that_run_to_the_end():
+    for tag in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>one</p><{tag} a=b>two<p>three") == ["one"]
+    assert texts("<p>one</p><svg a=b><title>t</title></svg>two<select\n><option>no</select>three") == ["one", "two three"]
+    assert len(texts("<video src=x>v" * 20000)) == 20000
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = H.Labeller(1)
