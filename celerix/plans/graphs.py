@@ -79,7 +79,12 @@ def spatial_delaunay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.spatial_neighbors_delaunay(tables.vectors(spark, sf_dir), copy=True).distances, "weight")
 
 
+def _spatial_frame(spark: SparkSession, sf_dir: str):
+    return spatial.spatial_neighbors_knn(tables.vectors(spark, sf_dir))
+
+
 def _grid_frame(spark: SparkSession, sf_dir: str):
+    """The components that the SQL of moran, geary and moran_permutations names."""
     frame = tables.vectors(spark, sf_dir)
     frame = frame.where_var("var_id between 2 and 9")
     return spatial.spatial_neighbors_knn(frame)
@@ -123,7 +128,7 @@ def moran_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def moran_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = spatial.spatial_autocorr(_grid_frame(spark, sf_dir), "moran", n_perms=20)
+    got = spatial.spatial_autocorr(_spatial_frame(spark, sf_dir), "moran", n_perms=20)
     return rounded(got, *[c for c in got.columns if c != "var_id"])
 
 

@@ -172,3 +172,11 @@ def test_layouts_separate_blobs(spark):
         layout.draw_graph(frame, "spiral")
     evals = decomposition.diffmap(neighbors.neighbors(points(spark, v[:40]), 8), 5).uns["diffmap_evals"]
     assert abs(evals[0] - 1) < 0.2 and all(x >= y - 1e-9 for x, y in zip(evals, evals[1:], strict=False))
+
+
+def test_moran_pvalues_of_every_component(spark, sf):
+    """All components are tested, and corrected together."""
+    from celerix.plans import registry
+
+    width = len(spark.read.parquet(f"{sf}/embeddings.parquet").first()["embedding"])
+    assert sorted(r["var_id"] for r in registry.QUERIES["moran_pvalues"](spark, sf).collect()) == list(range(width)) and width > 8
