@@ -1,3 +1,5 @@
+import sys
+
 import numpy as np
 import pytest
 from celerix.frame import AnnFrame
@@ -180,3 +182,21 @@ def test_moran_pvalues_of_every_component(spark, sf):
 
     width = len(spark.read.parquet(f"{sf}/embeddings.parquet").first()["embedding"])
     assert sorted(r["var_id"] for r in registry.QUERIES["moran_pvalues"](spark, sf).collect()) == list(range(width)) and width > 8
+
+
+@pytest.mark.parametrize(("name", "module", "limits"), [("tsne", "layout", {"n_iter"}), ("umap", "layout", {"n_epochs", "maxiter"}), ("draw_graph", "layout", {"n_iter"}), ("harmony", "decomposition", {"rounds", "inner"})])
+def test_registered_queries_run_all_iterations(spark, sf, monkeypatch, name, module, limits):
+    """No query asks for fewer iterations than its operator's default."""
+    from celerix.plans import registry  # before the modules that it loads
+    iterative = sys.modules["celerix.plans.iterative"]
+
+    class Called(Exception):
+        pass
+
+    def operator(*args, **named):
+        raise Called(set(named))
+
+    monkeypatch.setattr(getattr(iterative, module), "harmony_integrate" if name == "harmony" else name, operator)
+    with pytest.raises(Called) as call:
+        registry.QUERIES[name](spark, sf)
+    assert not call.value.args[0] & limits
