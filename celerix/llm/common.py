@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 8 << 20
+
 _own_root: dict[str, str] = {}
 
 
@@ -62,9 +64,15 @@ def remainder(doc_id: Column | str, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
-def text_id() -> Column:
+def text_id(text: Column | None = None) -> Column:
     """A 64-bit hash of the text column: rows that share a doc_id, or have none, are told apart by it."""
-    return F.xxhash64(F.col("text").cast("string"))
+    return F.xxhash64((F.col("text") if text is None else text).cast("string"))
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold BATCH_BYTES at most, or one row: workers hold a batch at a time, whatever rows weigh."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

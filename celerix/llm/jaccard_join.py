@@ -9,14 +9,17 @@ one-deletion neighbourhoods of their subsets are indexed too (two subsets that d
 signature), and each set buys, at the least total frequency, segments matched exactly (worth 1) or up to one deletion
 (worth 2) until they are worth H(j) + 1, which again no like pair can miss. Candidates are verified on the whole sets.
 
-Equal sets are one class from the start (64-bit set hash). In a bucket of k sets first only the pairs with its least set are verified;
-buckets whose sets are then in one component are settled, and the others give the pairs of different components. That
-gives the components; all_links then verifies the candidates within each of them, as like sets are in one.
+Equal sets are one class from the start (64-bit set hash; shingles are 64-bit hashes too). In a bucket of k sets first
+only the pairs with its least set are verified; buckets whose sets are then in one component are settled. In the others
+the sets of different components meet in tiles of at most 2 * BLOCK of them, cut by hash, where 128-byte parities rule
+unlike pairs out as they are formed; of the pairs left a task gives a spanning part, and only where one of these fails
+on the whole sets the others follow. That gives the components; link_counts then counts the links within each of them,
+as like sets are in one.
 
 Defined cases: null, empty and wordless texts have the empty set and link with nothing; fewer than 5 words are one
 shingle; repeated rows link; two rows of one doc_id are two documents with that id, and their component_id is the same
 least id if they link; a null doc_id links like any other and is the component_id only where no other id is in reach;
-other columns are ignored.
+other columns are ignored; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -28,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from celerix.llm.common import WordHashes, mix64, pieces, remove, stored, text_bytes, text_id
+from celerix.llm.common import WordHashes, bounded, mix64, pieces, remove, stored, text_bytes, text_id
 
 WIDTH = 5
 PERCENT = 80
 LEAST = 4  # the smallest set that can be like a different one: 4 of 5
-BUSY = 24  # pairs of different components, for each set of a signature, beyond which it is skipped
+BUSY = 512  # pairs of different components, for each set of a signature, beyond which it is skipped
+BLOCK = 1024  # sets of a signature or component, about, that meet as many others in one task
 BROADCAST_IDS = 1_000_000  # ids (16 bytes each) sent to every executor at most; more are joined by shuffle
 PARITY_BITS = 1024
 SEEN = 1_000_000  # set hashes remembered by a task, to post copies once
@@ -117,7 +121,7 @@ def subset_signature(total: np.ndarray, segment: np.ndarray, band: np.ndarray) -
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """Stored: doc_id, text_id, n_shingles, set_id, bands, empties, and the signatures where this task meets the set first."""
+    """Stored: doc_id, text_id, n_shingles, set_id and, where this task meets the set first, bands, empties, parity and the signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
@@ -138,13 +142,16 @@ def _signed(docs: DataFrame) -> DataFrame:
                 for d, b, e in zip(doc.tolist(), band.tolist(), empty.tolist(), strict=True):
                     bands[fresh[d]].append(b)
                     empties[fresh[d]].append(e)
+                parities: list[np.ndarray | None] = [None] * len(ids)
+                for k in fresh:
+                    parities[k] = parity(sets[k])
                 bounds = np.zeros(len(ids) + 1, np.int32)
                 np.add.at(bounds, np.array(fresh, np.int64)[doc[of]] + 1 if len(of) else np.zeros(0, np.int64), 1)
                 posted = pa.ListArray.from_arrays(pa.array(np.cumsum(bounds, dtype=np.int32)), pa.array(signature))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int32())), pa.array(empties, pa.list_(pa.int32())), posted], ["doc_id", "text_id", "n_shingles", "set_id", "bands", "empties", "posted"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int32())), pa.array(empties, pa.list_(pa.int32())), pa.array(parities, pa.list_(pa.int64())), posted], ["doc_id", "text_id", "n_shingles", "set_id", "bands", "empties", "parity", "posted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("text_id"), F.col("text").cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, text_id long, n_shingles long, set_id long, bands array<int>, empties array<int>, posted array<long>"), "signed")
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("text_id"), F.col("text").cast("string").alias("text"))
+    return stored(rows.mapInArrow(run, "doc_id long, text_id long, n_shingles long, set_id long, bands array<int>, empties array<int>, parity array<long>, posted array<long>"), "signed")
 
 
 def _shared(posts: DataFrame) -> DataFrame:
@@ -194,27 +201,10 @@ def components(links: DataFrame) -> DataFrame:
         remove(label.sparkSession, label)
         label = new.select("id", "component")
         if done:
+            remove(label.sparkSession, both)
             return label
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Stored: set_id, shingles, parity of each wanted (doc_id, set_id)."""
-    n = wanted.count()
-    side = wanted.select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_set"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(side) if n <= BROADCAST_IDS else side, rows["doc_id"].eqNullSafe(side["_id"])).select("_set", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
-                sets = document_sets(text_bytes(part.column("text")), hashes)
-                keep = [k for k, x in enumerate(part.column("_set").to_pylist()) if set_hash(sets[k]) == x]
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(sets[k]) for k in keep], pa.int64()), pa.array([sets[k].view(np.int64) for k in keep], pa.list_(pa.int64())), pa.array([parity(sets[k]) for k in keep], pa.list_(pa.int64()))], ["set_id", "shingles", "parity"])
-
-    return stored(rows.mapInArrow(run, "set_id long, shingles array<long>, parity array<long>"), "sets")
-
-
 def parity(s: np.ndarray) -> np.ndarray:
     """Of each of PARITY_BITS hash cells whether it holds an odd number of the set's shingles, as 64-bit words.
 
@@ -225,16 +215,165 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Stored: the pairs (a, b) whose sets are alike. The parities rule most others out before whole sets are moved."""
-    bits = sets.select("set_id", F.size("shingles").alias("n"), "parity")
-    near = pairs.join(bits.toDF("a", "na", "pa"), "a").join(bits.toDF("b", "nb", "pb"), "b")
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + F.bit_count(x))
-    near = near.filter(apart * (100 + PERCENT) <= (F.col("na") + F.col("nb")) * (100 - PERCENT)).select("a", "b")
-    one = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return stored(near.join(one, "a").join(two, "b").filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b"), "alike")
+class Sets:
+    """All distinct sets: their parities, and one document of each from which its shingles are made again where they are needed."""
+
+    def __init__(self, docs: DataFrame, info: DataFrame):
+        self.docs = docs
+        self.bits = stored(info.filter("parity is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")), "bits")
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """Stored: set_id, shingles of each wanted set_id."""
+        side = stored(self.bits.join(wanted, "set_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_set")), "wanted")
+        rows = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        rows = rows.join(F.broadcast(side) if side.count() <= BROADCAST_IDS else side, rows["doc_id"].eqNullSafe(side["_id"])).select("_set", "text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for batch in batches:
+                for part in pieces(batch, "text", 2 << 20):
+                    sets = document_sets(text_bytes(part.column("text")), hashes)
+                    keep = [k for k, x in enumerate(part.column("_set").to_pylist()) if set_hash(sets[k]) == x]
+                    yield pa.RecordBatch.from_arrays([pa.array([set_hash(sets[k]) for k in keep], pa.int64()), pa.array([sets[k].view(np.int64) for k in keep], pa.list_(pa.int64()))], ["set_id", "shingles"])
+
+        found = stored(rows.mapInArrow(run, "set_id long, shingles array<long>"), "sets")
+        remove(found.sparkSession, side)
+        return found
+
+    def fitting(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that sizes and parities do not rule out."""
+        one, two = (self.bits.select("set_id", "n", "parity").toDF(k, "n" + k, "p" + k) for k in "ab")
+        apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + F.bit_count(x))
+        return pairs.join(one, "a").join(two, "b").filter(apart * (100 + PERCENT) <= (F.col("na") + F.col("nb")) * (100 - PERCENT)).select("a", "b")
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """Stored: the pairs (a, b) whose sets are alike, by the whole sets."""
+        pairs = stored(pairs, "pairs")
+        sets = self.of(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct())
+        one, two = (sets.dropDuplicates(["set_id"]).toDF(k, "s" + k) for k in "ab")
+        both = F.size(F.array_intersect("sa", "sb"))
+        found = stored(pairs.join(one, "a").join(two, "b").filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b"), "alike")
+        for x in (pairs, sets):
+            remove(found.sparkSession, x)
+        return found
+
+
+def tiled(rows: DataFrame, key: str, members: Column) -> DataFrame:
+    """rows with the tiles (key, lo, hi) in which they meet the others of their key, and their block: members sets of a key
+    are cut into blocks of about BLOCK by hash, and each two blocks meet in a tile."""
+    blocks = F.ceil(members / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
+    cut = rows.withColumn("blocks", blocks).withColumn("block", block)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = cut.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
+    return met.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole tiles, and for each row the end of its tile; what is held is a batch and a tile."""
+    held: list[pa.RecordBatch] = []
+    stream = iter(batches)
+    last = False
+    while not last:
+        batch = next(stream, None)
+        last = batch is None
+        if not last and batch.num_rows:
+            held.append(batch)
+        if not held or (not last and not batch.num_rows):
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ids = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in (key, "lo", "hi")], axis=1)
+        first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(1)]))
+        stop = whole.num_rows if last else int(first[-1])
+        held = [whole.slice(stop)] if stop < whole.num_rows else []
+        if stop:
+            first = first[first < stop]
+            yield whole.slice(0, stop), np.repeat(np.append(first[1:], stop), np.diff(np.append(first, stop)))
+
+
+def _met(tile: pa.RecordBatch, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs (x, y) of one tile, different components (where rows have one) and sizes and parities that fit."""
+    n = len(end)
+    name, size, block = (tile.column(c).to_numpy().astype(np.int64) for c in ("set_id", "n", "block"))
+    part = tile.column("component").to_numpy() if "component" in tile.schema.names else name
+    across = tile.column("lo").to_numpy() != tile.column("hi").to_numpy()
+    bits = np.ascontiguousarray(tile.column("parity").flatten().to_numpy()).view(np.uint64).reshape(n, -1)
+    x = np.arange(n)
+    step = 1
+    while len(x := x[x + step < end[x]]):
+        y = x + step
+        ok = (part[x] != part[y]) & (np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * PERCENT) & ~(across[x] & (block[x] == block[y]))
+        i, j = x[ok], y[ok]
+        if len(i):
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+            near = apart * (100 + PERCENT) <= (size[i] + size[j]) * (100 - PERCENT)
+            if near.any():
+                yield i[near], j[near]
+        step += 1
+
+
+class _Forest:
+    """Union by least label; join() tells whether two were apart."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            if len(self.up) > SEEN:
+                self.up.clear()
+        return a != b
+
+
+def _candidates(rows: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs (a, b), a < b, of sets of different components that meet in a signature and fit; of these a spanning part, by task, or all.
+
+    rows: signature, component, set_id, n, parity, members, and for deletion posts deleted and worth (what the set asks: 0, 1 or 2).
+    """
+    asked = "worth" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+        for tile, end in _tiles(batches, "signature"):
+            name, part = (tile.column(c).to_numpy() for c in ("set_id", "component"))
+            if asked:
+                deleted, worth = (tile.column(c).to_numpy(zero_copy_only=False) for c in ("deleted", "worth"))
+            for x, y in _met(tile, end):
+                if asked:
+                    ask = lambda q, h: (worth[q] > 0) & (~deleted[q] | (worth[q] == 2)) & ~(deleted[q] & deleted[h]) & ((worth[q] == 2) | ~deleted[h])
+                    ok = ask(x, y) | ask(y, x)
+                    x, y = x[ok], y[ok]
+                if spanning:
+                    keep = [k for k, (a, b) in enumerate(zip(part[x].tolist(), part[y].tolist(), strict=True)) if forest.join(a, b)]
+                    x, y = x[keep], y[keep]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(name[x], name[y])), pa.array(np.maximum(name[x], name[y]))], ["a", "b"])
+
+    return tiled(rows, "signature", F.col("members")).mapInArrow(run, "a long, b long").distinct()
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label.toDF("set_id", "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+
+
+def _joined(rows: DataFrame, label: DataFrame, sets: Sets, links: DataFrame) -> DataFrame:
+    """links and further ones, which join all components that a link within a signature of rows (as in _candidates, without the component) joins."""
+    tried = stored(_candidates(_labelled(rows, label), True), "tried")
+    found = sets.alike(tried)
+    links = links.union(found)
+    wrong = stored(tried.join(found, ["a", "b"], "left_anti"), "wrong")
+    if not wrong.isEmpty():
+        links = links.union(sets.alike(_candidates(_labelled(rows, components(links)), False).join(wrong, ["a", "b"], "left_anti")))
+    return links
 
 
 def _band(signature: str = "signature") -> Column:
@@ -268,62 +407,41 @@ def deletion_posts(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np
     return segment, np.arange(len(segment)) >= m, subset_signature(value, segment, np.full(len(segment), band))
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """signature, a, b (a < b): the pairs of different components in each signature of rows (signature, set_id, component).
-
-    Components are paired first, so a large one costs its size times the sets beside it, not its square.
-    """
-    parts = rows.select("signature", "component").distinct()
-    two = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "signature").filter("ca < cb")
-    one = rows.select("signature", F.col("component").alias("ca"), F.col("set_id").alias("x"))
-    other = rows.select("signature", F.col("component").alias("cb"), F.col("set_id").alias("y"))
-    return two.join(one, ["signature", "ca"]).join(other, ["signature", "cb"]).select("signature", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def _deletion_pairs(short: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components among the sets of `short` (set_id, band), by one-deletion
-    neighbourhoods bought at least cost. Signatures within one component are settled and cost nothing."""
+def _deletion_rows(short: DataFrame, sets: Sets, label: DataFrame) -> DataFrame:
+    """Stored: rows for _joined of the one-deletion neighbourhoods of the sets of `short` (set_id, band), bought at least
+    cost. Signatures within one component are settled and cost nothing."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, component, band, s in zip(*(batch.column(c).to_pylist() for c in ("set_id", "component", "band")), batch.column("shingles"), strict=True):
                 segment, deleted, signature = deletion_posts(s.values.to_numpy().view(np.uint64), band)
                 n = len(segment)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.full(n, component)), pa.array(np.full(n, len(s))), pa.array(np.full(n, band, np.int32)), pa.array(segment.astype(np.int32)), pa.array(deleted), pa.array(signature)], ["set_id", "component", "size", "band", "segment", "deleted", "signature"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.full(n, component)), pa.array(np.full(n, band, np.int32)), pa.array(segment.astype(np.int32)), pa.array(deleted), pa.array(signature)], ["set_id", "component", "band", "segment", "deleted", "signature"])
 
-    named = short.join(sets, "set_id").join(label.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "band", "shingles")
-    posts = stored(named.mapInArrow(post, "set_id long, component long, size long, band int, segment int, deleted boolean, signature long"), "deletions")
+    shingles = sets.of(short.select("set_id").distinct())
+    named = _labelled(short.join(shingles.dropDuplicates(["set_id"]), "set_id"), label).select("set_id", "component", "band", "shingles")
+    posts = stored(named.mapInArrow(post, "set_id long, component long, band int, segment int, deleted boolean, signature long"), "deletions")
     often = posts.groupBy("signature").agg(F.count_if(~F.col("deleted")).alias("whole"), F.count_if("deleted").alias("less"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     often = stored(often.filter("whole > 0 and lo <> hi").select("signature", "whole", "less"), "often")
-    # a whole subset meets whole and deleted ones, a deleted one only whole ones
-    priced = posts.join(often, "signature", "left").withColumn("w", F.coalesce("whole", F.lit(0))).withColumn("l", F.coalesce("less", F.lit(0)))
-    exact = F.sum(F.when(~F.col("deleted"), F.col("w"))).cast("double")
-    near = F.sum(F.when(F.col("deleted"), F.col("w")).otherwise(F.col("w") + F.col("l"))).cast("double")
-    prices = priced.groupBy("set_id", "band", "segment").agg(exact.alias("exact"), near.alias("near")).groupBy("set_id", "band").agg(F.sort_array(F.collect_list(F.struct("segment", "exact", "near"))).alias("prices"))
+    # a whole subset meets whole and deleted ones, a deleted one only whole ones; what no other component shares costs nothing
+    live = stored(posts.join(often, "signature"), "live")
+    exact = F.sum(F.when(~F.col("deleted"), F.col("whole"))).cast("double")
+    near = F.sum(F.when(F.col("deleted"), F.col("whole")).otherwise(F.col("whole") + F.col("less"))).cast("double")
+    prices = live.groupBy("set_id", "band", "segment").agg(F.coalesce(exact, F.lit(0.0)).alias("exact"), near.alias("near")).groupBy("set_id", "band").agg(F.sort_array(F.collect_list(F.struct("segment", "exact", "near"))).alias("prices"))
 
     def buy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, band, prices_ in zip(*(batch.column(c).to_pylist() for c in ("set_id", "band", "prices")), strict=True):
-                worth = _allocate(len(prices_), int(MOST[band]) + 1, np.array([p["exact"] for p in prices_]), np.array([p["near"] for p in prices_]))
+                exact, near = np.zeros((2, int(SEGMENTS[band])))
+                for p in prices_:
+                    exact[p["segment"]], near[p["segment"]] = p["exact"], p["near"]
+                worth = _allocate(len(exact), int(MOST[band]) + 1, exact, near)
                 n = len(worth)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.full(n, band, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(worth.astype(np.int32))], ["set_id", "band", "segment", "worth"])
 
     bought = prices.mapInArrow(buy, "set_id long, band int, segment int, worth int").filter("worth > 0")
-    live = posts.join(often.select("signature"), "signature", "left_semi")
-    asked = stored(live.join(bought, ["set_id", "band", "segment"]).filter("worth = 2 or not deleted").select("signature", "set_id", "component", "size", "deleted", "worth"), "asked")
-    # components first: which of them ask, and which hold what is asked; of two the one with fewer sets asks, as either finds all links between them
-    weight = named.groupBy("component").agg(F.count("*").alias("sets"))
-    heavy = lambda side, name: weight.toDF(side, name)
-    who = asked.groupBy("signature", F.col("component").alias("ca")).agg(F.max(F.when(~F.col("deleted"), F.col("worth")).otherwise(0)).alias("whole"), F.bool_or("deleted").alias("less"))
-    held = live.groupBy("signature", F.col("component").alias("cb")).agg(F.bool_or(~F.col("deleted")).alias("hw"), F.bool_or("deleted").alias("hd"))
-    who, held = who.join(heavy("ca", "na"), "ca"), held.join(heavy("cb", "nb"), "cb")
-    asks = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ca") < F.col("cb")))
-    two = who.join(held, "signature").filter(asks & (((F.col("whole") > 0) & F.col("hw")) | ((F.col("whole") == 2) & F.col("hd")) | (F.col("less") & F.col("hw")))).select("signature", "ca", "cb")
-    q = asked.select("signature", F.col("component").alias("ca"), F.col("set_id").alias("q"), F.col("size").alias("nq"), F.col("deleted").alias("dq"), "worth")
-    h = live.select("signature", F.col("component").alias("cb"), F.col("set_id").alias("h"), F.col("size").alias("nh"), F.col("deleted").alias("dh"))
-    fits = F.least("nq", "nh") * 100 >= F.greatest("nq", "nh") * PERCENT
-    met = two.join(q, ["signature", "ca"]).join(h, ["signature", "cb"]).filter(fits & ~(F.col("dq") & F.col("dh")) & ((F.col("worth") == 2) | ~F.col("dh")))
-    return met.select(F.least("q", "h").alias("a"), F.greatest("q", "h").alias("b")).distinct()
+    told = live.join(bought, ["set_id", "band", "segment"], "left").select("signature", "set_id", "deleted", F.coalesce("worth", F.lit(0)).alias("worth"), (F.col("whole") + F.col("less")).alias("members"))
+    return stored(told.join(sets.bits.select("set_id", "n", "parity"), "set_id"), "asked")
 
 
 def _skipped(info: DataFrame, busy: DataFrame | None = None) -> DataFrame:
@@ -332,112 +450,115 @@ def _skipped(info: DataFrame, busy: DataFrame | None = None) -> DataFrame:
     return (rows if busy is None else rows.unionByName(busy)).groupBy("set_id", "band").agg(F.sum("n").alias("skip"))
 
 
-def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(info, links, labels, shared, sets): info has doc_id, text_id, n_shingles, set_id by row; links (a, b) between set ids, a
-    spanning part of all of them; labels the component of each linked set id; shared the signatures of more than one set
-    and sets the shingles of all sets that can have a link.
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Sets]:
+    """(info, links, labels, sets): info has doc_id, text_id, n_shingles, set_id by row; links (a, b) between set ids, a
+    spanning part of all of them; labels the component of each linked set id.
 
-    Like sets share slack + 1 identical segments at least in the smaller one's band, so a pair that shares fewer
-    signatures than that, less the segments that one of the two skips there, is not verified.
+    Like sets share slack + 1 identical segments at least in the smaller one's band. So a pair with a bucket's least set
+    that shares fewer signatures is not verified, and a set that has fewer open signatures than that, with the segments
+    that it skips there, meets nothing.
     """
     signed = _signed(docs)
     shared = _shared(signed.filter("size(posted) > 0").select("set_id", F.explode("posted").alias("signature")))
     info = stored(signed.drop("posted"), "info")
     remove(docs.sparkSession, signed)
-    names = info.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    lonely = _skipped(info).filter(F.col("skip") > _slack()).select("set_id")
-    sets = _sets(docs, stored(names.join(shared.select("set_id").union(lonely).distinct(), "set_id", "left_semi"), "wanted"))
+    sets = Sets(docs, info)
 
     # the least set of each bucket against the others: most links, and components that settle most buckets
     stars = shared.filter("set_id <> pivot").select(F.col("pivot").alias("a"), F.col("set_id").alias("b"), _band().alias("band"))
-    first = _alike(stars.groupBy("a", "b", "band").agg(F.count("*").alias("n")).filter(F.col("n") > _slack()).select("a", "b").distinct(), sets)
-    label = components(first)
+    stars = stars.groupBy("a", "b", "band").agg(F.count("*").alias("n")).filter(F.col("n") > _slack()).select("a", "b").distinct()
+    links = sets.alike(sets.fitting(stars))
+    label = components(links)
 
-    # buckets whose sets are not yet in one component: all pairs of different components, or skipped if busy
-    named = shared.select("signature", "set_id").join(label.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    # buckets whose sets are not yet in one component: those of different components meet, or are skipped if too many
+    named = _labelled(shared.select("signature", "set_id"), label)
     parts = named.groupBy("signature", "component").agg(F.count("*").alias("n"))
-    open_ = parts.groupBy("signature").agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c")).filter("c > 1")
-    open_ = open_.select("signature", (F.col("k") * F.col("k") - F.col("q") > 2 * BUSY * F.col("k")).alias("busy"))
+    open_ = parts.groupBy("signature").agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c")).filter("c > 1")
+    open_ = open_.select("signature", "members", (F.col("members") * F.col("members") - F.col("q") > 2 * BUSY * F.col("members")).alias("busy"))
     mixed = stored(named.join(open_, "signature"), "mixed")
-    busy = mixed.filter("busy").groupBy("set_id", _band().alias("band")).agg(F.count("*").alias("n"))
-    skipped = stored(_skipped(info, busy), "skipped")
-    met = _across(mixed.filter("not busy").select("signature", "set_id", "component"))
-    met = met.groupBy("a", "b", _band().alias("band")).agg(F.count("*").alias("n"))
-    met = met.join(skipped.toDF("a", "band", "xa"), ["a", "band"], "left").join(skipped.toDF("b", "band", "xb"), ["b", "band"], "left")
-    second = _alike(met.filter(F.col("n") + F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0))) > _slack()).select("a", "b").distinct(), sets)
-    links = first.union(second)
+    skipped = stored(_skipped(info, mixed.filter("busy").groupBy("set_id", _band().alias("band")).agg(F.count("*").alias("n"))), "skipped")
+    usual = mixed.filter("not busy").withColumn("band", _band())
+    fair = usual.groupBy("set_id", "band").agg(F.count("*").alias("n")).join(skipped, ["set_id", "band"], "left").filter(F.col("n") + F.coalesce("skip", F.lit(0)) > _slack()).select("set_id", "band")
+    usual = stored(usual.join(fair, ["set_id", "band"], "left_semi").select("signature", "set_id", "component"), "usual")
+    left = usual.groupBy("signature").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("signature", "members")
+    rows = usual.join(left, "signature").select("signature", "set_id", "members").join(sets.bits.select("set_id", "n", "parity"), "set_id")
+    for x in (shared, mixed):
+        remove(docs.sparkSession, x)
+    links = _joined(stored(rows, "met"), label, sets, links)
 
     short = stored(skipped.filter(F.col("skip") > _slack()).select("set_id", "band"), "short")
     if not short.isEmpty():
-        links = stored(links, "links")
-        links = links.union(_alike(_deletion_pairs(short, sets, components(links)), sets))
+        label = components(links)
+        links = _joined(_deletion_rows(short, sets, label), label, sets, links)
     links = stored(links.distinct(), "links")
-    return info, links, components(links), shared, sets
+    return info, links, components(links), sets
 
 
-def all_links(info: DataFrame, label: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """Stored: every link (a, b) between set ids, a < b, from the parts that jaccard_links returns.
+def link_counts(label: DataFrame, sets: Sets) -> DataFrame:
+    """set_id, n_links: to how many other sets each linked set is like, all of them.
 
-    Like sets are in one component, so candidates are pairs within one: those that share enough signatures, counting a
-    segment that both may have empty as shared. No signature is too busy here. Where a component has fewer pairs than
-    its signatures have, all its pairs are verified instead.
+    Like sets are in one component, so its sets meet in tiles with their shingles: parities first, then the whole sets. A
+    tile gives a number a set, not its pairs.
     """
-    named = label.withColumnRenamed("id", "set_id")
-    posts = shared.select("signature", "set_id").join(named, "set_id")
-    square = F.col("n") * (F.col("n") - 1) / 2
-    by_posts = posts.groupBy("component", "signature").agg(F.count("*").alias("n")).groupBy("component").agg(F.sum(square).alias("met"))
-    by_size = named.groupBy("component").agg(F.count("*").alias("n")).select("component", square.alias("pairs"))
-    dense = stored(by_size.join(by_posts, "component", "left").select("component", (F.col("pairs") <= F.coalesce("met", F.lit(0))).alias("dense")), "dense")
-
-    def meet(rows: DataFrame, on: list[str]) -> DataFrame:
-        return rows.withColumnRenamed("set_id", "a").join(rows.withColumnRenamed("set_id", "b"), on).filter("a < b")
-
-    whole = meet(named.join(dense.filter("dense").select("component"), "component"), ["component"]).select("a", "b")
-    sparse = dense.filter("not dense").select("component")
-    skipped = _skipped(info).join(named, "set_id").join(sparse, "component")
-    met = meet(posts.join(sparse, "component"), ["signature", "component"]).groupBy("a", "b", _band().alias("band")).agg(F.count("*").alias("n"))
-    empty = skipped.select("set_id", "band", "skip")
-    met = met.join(empty.toDF("a", "band", "xa"), ["a", "band"], "left").join(empty.toDF("b", "band", "xb"), ["b", "band"], "left")
-    met = met.filter(F.col("n") + F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0))) > _slack()).select("a", "b")
-    short = meet(skipped.filter(F.col("skip") > _slack()).select("set_id", "band", "component"), ["band", "component"]).select("a", "b")
-    return _alike(whole.union(met).union(short).distinct(), sets.dropDuplicates(["set_id"]))
+    named = label.toDF("set_id", "part")
+    members = named.groupBy("part").agg(F.count("*").alias("members"))
+    rows = named.join(members, "part").join(sets.bits.select("set_id", "n", "parity"), "set_id").join(sets.of(named.select("set_id")).dropDuplicates(["set_id"]), "set_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile, end in _tiles(batches, "part"):
+            name, n, size = tile.column("set_id").to_numpy(), np.zeros(len(end), np.int64), tile.column("n").to_numpy()
+            shingles = tile.column("shingles")
+            for x, y in _met(tile, end):
+                for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                    both = len(np.intersect1d(shingles[a].values.to_numpy().view(np.uint64), shingles[b].values.to_numpy().view(np.uint64), assume_unique=True))
+                    if both * 100 >= (size[a] + size[b] - both) * PERCENT:
+                        n[a] += 1
+                        n[b] += 1
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(n[some])], ["set_id", "n_links"])
+
+    counted = tiled(rows, "part", F.col("members")).mapInArrow(run, "set_id long, n_links long")
+    return counted.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
 
 
 def _classed(info: DataFrame, label: DataFrame) -> DataFrame:
     """info with class, the component of the row's set or the set itself (null for the empty set), and component_id."""
-    named = info.join(label.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("class", F.coalesce("component", "set_id"))
-    least = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "class", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    named = info.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    named = named.join(label.toDF("set_id", "component"), "set_id", "left").withColumn("class", F.coalesce("component", "set_id"))
+    # classes of one set are settled; the others meet by class, one row a set
+    many = named.filter("component is not null").groupBy("class").agg(F.min("least").alias("component_id"))
+    named = named.join(many, "class", "left").select(F.col("set_id").alias("_set"), "class", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    out = info.join(named, info["set_id"] == named["_set"], "left")
+    return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 
 def component_ids(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; not all links are needed for these."""
-    info, _, label, _, _ = jaccard_links(docs)
+    info, _, label, _ = jaccard_links(docs)
     return _classed(info, label).select("doc_id", "n_shingles", "component_id")
 
 
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id and n_links (other sets that the document's set is like, all of them) of every row."""
-    info, _, label, shared, sets = jaccard_links(docs)
-    links = all_links(info, label, shared, sets)
-    counts = links.select("a", "b").union(links.select("b", "a")).toDF("s", "o").groupBy("s").agg(F.count("*").alias("n_links"))
-    out = _classed(info, label).join(counts, F.col("set_id") == F.col("s"), "left")
-    return out.select("doc_id", "n_shingles", "component_id", "set_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    info, _, label, sets = jaccard_links(docs)
+    out = _classed(info, label).join(link_counts(label, sets).withColumnRenamed("set_id", "s"), F.col("set_id") == F.col("s"), "left")
+    return out.select("doc_id", "n_shingles", "component_id", "set_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, unchanged, but of like rows only one: that with the least doc_id (a null after all others), then
     the least text_id; of several with both equal any. Rows with the empty set are like nothing and all stay."""
-    info, _, label, _, _ = jaccard_links(docs)
+    info, _, label, _ = jaccard_links(docs)
     found = stored(_classed(info, label).select("doc_id", "text_id", "class"), "components")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id")
-    best = found.filter("class is not null").groupBy("class").agg(F.min(rank).alias("r")).select("class", F.col("r.doc_id").alias("_id"), F.col("r.text_id").alias("_text"))
+    best = found.filter("class is not null").groupBy("class").agg(F.min(rank).alias("r")).select("class", F.col("r.doc_id").alias("best"), F.col("r.text_id").alias("best_text"))
     # one text has one class, so a key is that of one class or of the empty set
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_id") == F.col("_text"))
-    copies = found.join(best, "class").filter(same).groupBy("_id", "_text").agg((F.count("*") > 1).alias("_copies"))
-    wordless = found.filter("class is null").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text")).distinct().withColumn("_copies", F.lit(False))
+    same = F.col("doc_id").eqNullSafe(F.col("best")) & (F.col("text_id") == F.col("best_text"))
+    copies = found.join(best, "class").filter(same).groupBy("best", "best_text").agg((F.count("*") > 1).alias("copies"))
+    wordless = found.filter("class is null").select(F.col("doc_id").alias("best"), F.col("text_id").alias("best_text")).distinct().withColumn("copies", F.lit(False))
     kept = stored(copies.union(wordless), "kept")
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_id() == F.col("_text")))
-    if kept.filter("_copies").isEmpty():
-        return rows.select(docs.columns)
-    return rows.filter("not _copies").select(docs.columns).union(rows.filter("_copies").dropDuplicates(["_id", "_text"]).select(docs.columns))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), text_id(docs["text"]).alias("text_id"))
+    rows = packed.join(kept, F.col("id").eqNullSafe(F.col("best")) & (F.col("text_id") == F.col("best_text")))
+    if not kept.filter("copies").isEmpty():
+        rows = rows.filter("not copies").union(rows.filter("copies").dropDuplicates(["best", "best_text"]))
+    return rows.select("row.*")

@@ -42,6 +42,16 @@ def test_against_brute_force(spark, corpus):
     assert found(J.link_components(docs_of(spark, corpus))) == brute(corpus)
 
 
+def test_tiles_of_large_buckets(spark, monkeypatch):
+    """Blocks of a few sets: buckets and components are cut into many tiles, with the same links."""
+    monkeypatch.setattr(J, "BLOCK", 3)
+    rng = random.Random(9)
+    base = [f"g{k}" for k in range(60)]
+    rows = [(k, " ".join(f"x{rng.randrange(9)}" if rng.random() < 0.02 else w for w in base)) for k in range(60)]
+    got = J.link_components(docs_of(spark, rows))
+    assert found(got) == brute(rows) and links_of(got) == brute_links(rows)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_boilerplate_needs_the_deletion_neighbourhoods(spark, monkeypatch, seed):
     """Texts of a few words of their own between common lines: most signatures are busy, the links are still all found."""
