@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,18 +43,43 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = work_dir(spark, name)
+    if _open is not None:
+        _open.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a stored DataFrame that no later result reads."""
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+    _delete(spark, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def _delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_open: list[str] | None = None  # folders stored in the scratch scope that is open
+_closed: list[str] = []  # and in those that were
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, docs: DataFrame) -> Iterator[None]:
+    """A stage of a pipeline whose results are written before the next stage is called: what earlier stages stored on
+    their way is deleted now, but for files that docs reads."""
+    global _open
+    needed = {f.rsplit("/", 1)[0].split("/")[-1] for f in docs.inputFiles()}
+    _delete(spark, [p for p in _closed if p.rsplit("/", 1)[1] not in needed])
+    _closed[:] = [p for p in _closed if p.rsplit("/", 1)[1] in needed]
+    _open = []
+    try:
+        yield
+    finally:
+        _closed.extend(_open)
+        _open = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,13 +1,15 @@
 """Token-id output compressed by Re-Pair grammars.
 
 Documents are encoded with a public tokenizer, ordered by doc_id and cut into shards of bounded size. Every shard has a
-grammar of its own: rounds replace its frequent id pairs by nonterminals, as long as a pair occurs often enough. A
+grammar of its own: its most frequent id pairs are replaced by nonterminals, round by round, until no pair occurs often
+enough to pay for its rule. Each round goes down to an EIGHTH of the frequency that the one before it took. A
 shard stores its rules, the expansion length of each nonterminal, the compressed sequence and a directory of its
 documents, so that any document, or any range of ids in one, is decoded without the rest. Pairs never hold the end id,
 so no nonterminal spans two documents.
 
 Defined cases: null and empty texts are the end id alone; repeated doc_ids stand one after the other, ordered by a hash
-of their text; a null doc_id comes first; an empty table gives no shards; other columns are ignored.
+of their text; a null doc_id comes first; an empty table gives no shards; other columns are ignored; a text of any
+length is one document of one shard.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from celerix.llm.common import pieces, stored, text_bytes
+from celerix.llm.common import bounded, pieces, stored, text_bytes
 
 END = 1
 SHARD_TOKENS = 1 << 20
-MIN_COUNT = 24  # a pair this frequent in a shard becomes a rule
-PER_ROUND = 2048
-ROUNDS = 6
-KNOWN_WORDS = 150_000
+MIN_COUNT = 6  # a rule takes 12 bytes, an occurrence of a pair saves 2
+EIGHTH = 8
+KNOWN_WORDS = 300_000
+KNOWN_PARTS = 150_000
 
 
 #: lower-case words of letters whose pre-tokens are plain: the letters, then signs that are neither letters, digits nor apostrophes; other lines match whole
@@ -83,7 +85,7 @@ class WordEncoder:
         self.ids = np.zeros(1 << 18, np.uint32)
 
     def _part(self, text: str) -> bytes:
-        if len(self.parts) > KNOWN_WORDS:
+        if len(self.parts) > KNOWN_PARTS:
             self.parts.clear()
         shown = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
         ids = self.parts[text] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
@@ -148,73 +150,123 @@ def _slot(pair: np.ndarray) -> np.ndarray:
     return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
 
 
-def repair(ids: np.ndarray, min_count: int = MIN_COUNT, per_round: int = PER_ROUND, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sequence, rules n x 2, first nonterminal): Re-Pair in rounds.
+def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sequence, rules n x 2, first nonterminal): Re-Pair to the end, in rounds.
 
-    A round ranks the pairs by frequency and replaces the best `per_round`; where two replacements meet, the more
-    frequent pair wins, and of equal ones the left.
+    The first round takes the pairs at least an EIGHTH as frequent as the first, each next one goes an EIGHTH further down;
+    where two replacements meet, the more frequent pair wins. It ends when no pair occurs min_count times.
     """
     sequence = ids.astype(np.int64)
     first = int(sequence.max(initial=0)) + 1
     rules: list[np.ndarray] = []
     symbols = first
-    for _ in range(rounds):
-        if len(sequence) < 2:
-            break
+    table = np.zeros(1 << 20, np.int32)
+    least = 1 << 62
+    while len(sequence) > 1:
         pair = sequence[:-1] << 32 | sequence[1:]
         pair[(sequence[:-1] == END) | (sequence[1:] == END)] = -1
+        # of a run of one pair only every second place can be replaced, and counts
+        again = np.flatnonzero(pair[1:] == pair[:-1]) + 1
+        if len(again):
+            new = np.concatenate([[True], np.diff(again) > 1])
+            at = np.arange(len(again))
+            pair[again[(at - np.maximum.accumulate(np.where(new, at, 0))) % 2 == 0]] = -1
         ordered = np.sort(pair)
         cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(np.append(cut, len(ordered)))
         keys = ordered[cut]
-        good = (count >= min_count) & (keys >= 0)
+        count[keys < 0] = 0
+        least = max(min_count, min(least, int(count.max())) // EIGHTH)
+        good = count >= least
         keys, count = keys[good], count[good]
         if not len(keys):
-            break
-        if len(keys) > per_round:
-            best = np.argsort(-count, kind="stable")[:per_round]
-            best.sort()
-            keys, count = keys[best], count[best]
+            if least == min_count:
+                break
+            continue
         rank = np.empty(len(keys), np.int64)
-        rank[np.argsort(-count, kind="stable")] = np.arange(len(keys), 0, -1)  # the highest for the most frequent
+        rank[np.lexsort((_slot(keys * 31 + 7), -count))] = np.arange(len(keys), 0, -1)  # the highest for the most frequent, by hash among equals
         # each pair's key by hash; of keys that share a slot the most frequent keeps it, the others wait for the next round
-        table = np.zeros(1 << 20, np.int32)
         order = np.argsort(rank, kind="stable")
         table[_slot(keys[order])] = order
-        at = table[_slot(pair)]
-        found = keys[at] == pair
-        priority = np.zeros(len(pair) + 2, np.int64)
-        priority[1:-1] = np.where(found, rank[at], 0)
-        take = np.flatnonzero(found & (priority[1:-1] > priority[:-2]) & (priority[1:-1] >= priority[2:]))
-        used, named = np.unique(at[take], return_inverse=True)
-        sequence[take] = symbols + named
+        left, right = np.zeros((2, symbols), bool)
+        left[keys >> 32], right[keys & 0xFFFFFFFF] = True, True
+        place = np.flatnonzero(left[sequence[:-1]] & right[sequence[1:]])
+        at = np.minimum(table[_slot(pair[place])], len(keys) - 1)
+        found = keys[at] == pair[place]
+        place, at = place[found], at[found]
+        won: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(place):  # the higher of neighbours wins, and what it overlaps goes
+            beside = np.diff(place) == 1
+            value = rank[at]
+            wins = np.ones(len(place), bool)
+            wins[1:] &= ~beside | (value[1:] > value[:-1])
+            wins[:-1] &= ~beside | (value[:-1] >= value[1:])
+            won.append((place[wins], at[wins]))
+            gone = wins.copy()
+            gone[1:] |= beside & wins[:-1]
+            gone[:-1] |= beside & wins[1:]
+            place, at = place[~gone], at[~gone]
+        take, at = (np.concatenate(x) for x in zip(*won, strict=True))
+        # where neighbours win over a pair its places may be too few for a rule; the most frequent pair's never are none
+        enough = np.bincount(at, minlength=len(keys)) >= min_count
+        enough[int(rank.argmax())] = True
+        take, at = take[enough[at]], at[enough[at]]
+        sequence[take] = symbols + (np.cumsum(enough) - 1)[at]
         sequence = np.delete(sequence, take + 1)
-        rules.append(np.stack([keys[used] >> 32, keys[used] & 0xFFFFFFFF], axis=1))
-        symbols += len(used)
+        rules.append(np.stack([keys[enough] >> 32, keys[enough] & 0xFFFFFFFF], axis=1))
+        symbols += int(enough.sum())
     return sequence, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), first
 
 
+class Expansions:
+    """What each nonterminal stands for: flat ids, where they start, how many they are. Rules refer to earlier ones only."""
+
+    def __init__(self, rules: np.ndarray, first: int):
+        self.first, n = first, len(rules)
+        depth = np.zeros(n, np.int64)
+        inner, below = rules >= first, np.maximum(rules - first, 0)
+        while n:
+            new = np.where(inner, depth[below] + 1, 0).max(1)
+            if np.array_equal(new, depth):
+                break
+            depth = new
+        self.lengths = np.ones(n, np.int64)
+        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=-1)) + 1)]
+        for level in levels:
+            self.lengths[level] = np.where(inner[level], self.lengths[below[level]], 1).sum(1)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.zeros(int(self.lengths.sum()), np.int64)
+        for level in levels:
+            left, right = rules[level].T
+            at = self.starts[level]
+            for part, to in ((left, at), (right, at + np.where(left >= first, self.lengths[np.maximum(left - first, 0)], 1))):
+                ids, size = self._of(part)
+                ends = np.cumsum(size)
+                self.flat[np.arange(len(ids)) + np.repeat(to - (ends - size), size)] = ids
+
+    def _of(self, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that a sequence stands for, and how many each of its symbols gives."""
+        inner = sequence >= self.first
+        if not inner.any():
+            return sequence, np.ones(len(sequence), np.int64)
+        below = np.where(inner, sequence - self.first, 0)
+        size = np.where(inner, self.lengths[below], 1)
+        ends = np.cumsum(size)
+        out = self.flat[np.minimum(np.arange(int(ends[-1])) + np.repeat(np.where(inner, self.starts[below], 0) - (ends - size), size), len(self.flat) - 1)]
+        out[(ends - size)[~inner]] = sequence[~inner]
+        return out, size
+
+    def of(self, sequence: np.ndarray) -> np.ndarray:
+        return self._of(sequence.astype(np.int64))[0]
+
+
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
-    """Ids that each nonterminal stands for; rules refer to earlier ones only."""
-    out = np.ones(len(rules), np.int64)
-    for _ in range(ROUNDS * 8):
-        new = sum(np.where(rules[:, i] >= first, out[np.maximum(rules[:, i] - first, 0)], 1) for i in (0, 1)) if len(rules) else out
-        if np.array_equal(new, out):
-            break
-        out = new
-    return out
+    """Ids that each nonterminal stands for."""
+    return Expansions(rules, first).lengths
 
 
 def expand(sequence: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    sequence = sequence.astype(np.int64)
-    while len(rules) and (inner := sequence >= first).any():
-        size = np.where(inner, 2, 1)
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        out[at] = np.where(inner, rules[np.maximum(sequence - first, 0), 0], sequence)
-        out[at[inner] + 1] = rules[sequence[inner] - first, 1]
-        sequence = out
-    return sequence
+    return Expansions(rules, first).of(sequence)
 
 
 def _packed(values: np.ndarray) -> tuple[bytes, int]:
@@ -252,6 +304,12 @@ class Shard:
         self.sequence = self._take("<u2", symbols).astype(np.int64)
         for k in range(head["planes"]):
             self.sequence |= np.unpackbits(self._take("u1", -(-symbols // 8)), count=symbols).astype(np.int64) << (16 + k)
+        self._expansions: Expansions | None = None
+
+    def expand(self, sequence: np.ndarray) -> np.ndarray:
+        """Ids of a part of the sequence; what the nonterminals stand for is made at first use."""
+        self._expansions = self._expansions or Expansions(self.rules, self.first)
+        return self._expansions.of(sequence)
 
     def _take(self, kind: str, n: int) -> np.ndarray:
         out = np.frombuffer(self._blob, kind, n, self._at)
@@ -260,7 +318,7 @@ class Shard:
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document, end id included."""
-        return expand(self.sequence[self.starts[k] : self.starts[k + 1]], self.rules, self.first)
+        return self.expand(self.sequence[self.starts[k] : self.starts[k + 1]])
 
     def ids(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the k-th document: only the symbols that cover them are expanded."""
@@ -269,7 +327,7 @@ class Shard:
         ends = np.cumsum(size)
         a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
         skip = int(ends[a - 1]) if a else 0
-        return expand(part[a:b], self.rules, self.first)[start - skip : stop - skip]
+        return self.expand(part[a:b])[start - skip : stop - skip]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -302,9 +360,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD
             yield cut()
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # ranges of doc_id and hash: rows of one id, however many, are shared out
+    ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     return stored(ordered.mapInArrow(run, "part long, number long, n_tokens long, shard binary"), "tokens")
 
 
@@ -320,7 +379,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, number, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "shard")), strict=True):
                 shard = Shard(blob)
-                flat = expand(shard.sequence, shard.rules, shard.first).astype("<u4")
+                flat = shard.expand(shard.sequence).astype("<u4")
                 n = len(shard.doc_ids)
                 crc = [zlib.crc32(flat[a:b]) for a, b in zip(shard.offsets[:-1].tolist(), shard.offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array([number] * n, pa.int64()), pa.array(shard.doc_ids, pa.int64()), pa.array(shard.offsets[:-1]), pa.array(np.diff(shard.offsets)), pa.array(crc, pa.int64())], ["part", "number", "doc_id", "offset", "n_tokens", "ids_crc32"])

@@ -1,5 +1,7 @@
 import zlib
 
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 from celerix.llm import tokens_repair as T
@@ -33,8 +35,10 @@ def test_files_hold_the_tokenizers_ids(spark, corpus):
 def test_round_trip_and_random_access(docs):
     parts = [np.array([*d, T.END], np.uint32) for d in docs for _ in range(3)]
     flat = np.concatenate(parts)
-    sequence, rules, first = T.repair(flat, min_count=2, per_round=5, rounds=6)
+    sequence, rules, first = T.repair(flat, min_count=2)
     assert np.array_equal(T.expand(sequence, rules, first), flat)
+    pairs = [tuple(x) for x in zip(sequence[:-1].tolist(), sequence[1:].tolist(), strict=True) if T.END not in x]
+    assert all(n < 2 or a == b for (a, b), n in Counter(pairs).items())  # nothing is left to replace
     old = T.MIN_COUNT
     shard = T.Shard(T.Shard.dump(list(range(len(parts))), np.array([len(p) for p in parts]), flat))
     assert T.MIN_COUNT == old
