@@ -34,8 +34,18 @@ def test_against_brute_force(spark, corpus):
     items = [(1, rows[4][1]), (2, " ".join(rows[9][1].split()[:20])), (10, "One, TWO; three"), (3, None), (4, "..."), (5, "a b c d"), (6, " ".join((rows[3][1] + " " + rows[30][1]).split()[2:16]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (1 << 20, 40):  # one block of the benchmark, then several
-        got = Counter(tuple(r) for r in D.contamination(docs_of(spark, rows), bench, block_bytes=block).collect())
-        assert got == brute(rows, items)
+        found = D.contamination(docs_of(spark, rows), bench, block_bytes=block)
+        assert Counter(tuple(r) for r in found.drop("full_window").collect()) == brute(rows, items)
+        assert all(not r["full_window"] or r["n_hit"] >= 13 for r in found.collect())
+
+
+def test_very_long_texts_and_short_items(spark):
+    """A text of many segments' size, hit at its end; hits of a short item alone are no full window."""
+    long = "very " * 2_000_000 + " ".join(f"t{k}" for k in range(15))
+    bench = spark.createDataFrame([(1, " ".join(f"t{k}" for k in range(15))), (2, "two words")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in D.contamination(docs_of(spark, [(1, long), (2, "these two words two words"), (3, "none")]), bench).collect()}
+    assert got[1]["n_hit"] == 15 and got[1]["full_window"] and not got[1]["contaminated"] and got[1]["n_words"] == 2_000_015
+    assert got[2]["n_hit"] == 4 and got[2]["contaminated"] and not got[2]["full_window"] and got[3]["n_items"] == 0
 
 
 def test_empty_tables(spark, corpus):
