@@ -36,7 +36,7 @@ from celerix.llm.common import WordHashes, bounded, mix64, pieces, remove, store
 WIDTH = 5
 PERCENT = 80
 LEAST = 4  # the smallest set that can be like a different one: 4 of 5
-BUSY = 512  # pairs of different components, for each set of a signature, beyond which it is skipped
+BUSY = 4096  # pairs of different components, for each set of a signature, beyond which it is skipped: where they cost as much as the neighbourhoods of the sets that skip
 BLOCK = 1024  # sets of a signature or component, about, that meet as many others in one task
 BROADCAST_IDS = 1_000_000  # ids (16 bytes each) sent to every executor at most; more are joined by shuffle
 PARITY_BITS = 1024
