@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from celerix.llm.common import mix64, pieces, stored
+from celerix.llm.common import bounded, mix64, pieces, stored
 
 BITS = 128
 PERIOD = 4096  # steps after which the walk's random bits repeat
@@ -141,7 +141,7 @@ def edited(text: str, following: str) -> str:
 def _with_next(docs: DataFrame) -> DataFrame:
     """Rows doc_id, text in bands of doc_id, ascending within a band; every band ends with a copy (`guest`) of the next band's first row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = rows.select("doc_id").filter("doc_id is not null")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.001 / parts if parts > 64 else 0.002))) if parts > 1 else []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from celerix.llm.common import pieces
+from celerix.llm.common import bounded, pieces
 
 PATH, WORDS, DENSE, HIDDEN = 64, 24, 6, 20
 INPUT = PATH + WORDS + DENSE
@@ -391,5 +391,5 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
                 texts = main_texts([h or "" for h in part.column("html").to_pylist()], shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -10,7 +10,7 @@ anchor that occurs once rules out all of its windows at once.
 
 Defined cases: null, empty and wordless texts have no words; documents of fewer than WINDOW words keep them all;
 repeated rows (equal doc_id and text) count as two occurrences; a null doc_id is a document like others; other columns
-are ignored. Windows are told apart by two 64-bit hashes, of the anchor and of all words.
+are ignored; texts of any length are read whole. Windows are told apart by two 64-bit hashes, of the anchor and of all words.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from celerix.llm.common import WordHashes, mix64, pieces, stored, text_bytes
+from celerix.llm.common import WordHashes, bounded, mix64, pieces, stored, text_bytes
 
 WINDOW = 35
 GRAM = 8
@@ -90,7 +90,7 @@ def _batches(part: pa.RecordBatch, hashes: WordHashes) -> tuple[list[list[bytes]
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     name = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(name, F.lit(0)).alias("key"), F.xxhash64(text, name.isNull()).alias("body"), name.alias("doc_id"), text.alias("text"))
+    return bounded(docs).select(F.coalesce(name, F.lit(0)).alias("key"), F.xxhash64(text, name.isNull()).alias("body"), name.alias("doc_id"), text.alias("text"))
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     windows = stored(texts.join(asked, ["key", "body"]).mapInArrow(name, "key long, body long, anchor long, window long, start int, alone boolean"), "windows")
     twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window")
     edges = windows.filter("alone").join(twice, ["anchor", "window"]).select("key", "body", "start", (F.col("start") + WINDOW).alias("stop"))
-    return whole.union(edges).groupBy("key", "body").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return whole.union(edges).distinct().groupBy("key", "body").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _repeats(rows: DataFrame) -> bool:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from celerix.llm.common import pieces, remainder, stored, text_bytes
+from celerix.llm.common import bounded, pieces, remainder, stored, text_bytes
 
 SAMPLE_ROWS = 9000  # bound of the labelled sample
 LEXICON = 600
@@ -264,5 +264,5 @@ def toxicity(docs: DataFrame, model: Model, modulus: int = 5, held: int = 0) ->
                 score = shared.value.score(text_bytes(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder("doc_id", modulus) == held, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder("doc_id", modulus) == held, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

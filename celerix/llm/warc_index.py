@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celerix.llm.common import pieces, stored, work_dir
+from celerix.llm.common import bounded, pieces, stored, work_dir
 
 LEAST = 100
 BLOCK = 1024
@@ -129,7 +129,7 @@ class _Ranges:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Archives of all pages below folder; stored: key, page_id, path, offset, length of every record."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.length("payload"))
+    base = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.length("payload"))
     first = base.filter(F.col("size") >= LEAST).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).filter("n > 1 and first is not null").select(F.col("digest").alias("d"), "first")
     told = base.join(first, (base["digest"] == first["d"]) & (base["size"] >= LEAST), "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))

@@ -11,6 +11,7 @@ from celerix.llm.decontaminate import words_of
 from tokenizers import Tokenizer
 
 from .conftest import docs_of
+from .conftest import docs_of as plain
 from .test_decontaminate import brute as brute_leaks
 from .test_jaccard_join import brute as brute_groups
 
@@ -20,11 +21,12 @@ def test_stages_against_brute_force(spark, sf):
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     model = language_ppm.learn(docs)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    langs, _ = model.predict([(t or "").encode() for _, t in rows])
-    rows = [r for r, lang in zip(rows, langs, strict=True) if lang != "und"]
+    langs, _, rates = model.predict([(t or "").encode() for _, t in rows])
+    rows = [r for r, lang, rate in zip(rows, langs, rates, strict=True) if lang != "und" and rate <= language_ppm.FOREIGN_BITS]
     keep = {c for (_, _, c) in brute_groups(rows)}
     rows = [r for r in rows if r[0] in keep]
-    leaks = {k[0] for k in brute_leaks(rows, bench) if k[-1]}
+    leaks = {k[0] for k in brute_leaks(rows, bench) if k[2]}  # every item has 13 words or more, so a hit is a full window
+    assert all(len(words_of(t.encode())) >= 13 for _, t in bench)
     rows = [r for r in rows if r[0] not in leaks]
     got = sorted((tuple(r) for r in corpus_pipeline.run(spark, sf).collect()), key=lambda r: r[1])
     text = dict(rows)
@@ -48,6 +50,7 @@ def test_stages_keep_the_columns(spark, sf):
 def test_rows_without_or_with_a_common_id_are_judged_by_their_text(spark, sf):
     """Only copies and leaks go, whatever the ids of unlike texts are."""
     text = lambda k: " ".join(f"t{k}w{j}" for j in range(40))
+    docs_of = lambda spark, rows: plain(spark, rows).selectExpr("*", "'q' as _id", "1 as class", "2 as copies", "3 as best", "4 as leaked", "5 as text_id", "6 as row")
     clean = [(None, text(k)) for k in range(5)] + [(7, text(10)), (7, text(11)), (8, text(12))]
     wordless = [(None, None), (None, None), (7, " "), (7, "")]
     copies = [(None, text(0)), (7, text(10)), (9, text(10) + " more"), (8, text(12).upper())]
