@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from celerix.llm import decontaminate, jaccard_join, language_ppm, mixing, tokens_repair
-from celerix.llm.common import stored, table, text_id
+from celerix.llm.common import scratch, stored, table, text_id
+
+
+# Every stage takes null texts, repeated rows, null and repeated doc_ids, extra columns of any name, texts of any length
+# and empty tables: rows are judged by their text, so equal texts share one fate, and all columns are returned as they are.
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents that are in none of the learned languages go: those without a letter, and those that the best language's model cannot compress."""
     return language_ppm.keep_identified(docs, language_ppm.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of like ones stays: that with the least doc_id."""
+    """One document of each group of like ones stays: that with the least doc_id. Wordless ones are like nothing and stay."""
     return jaccard_join.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages are a twentieth or more go."""
+    """Documents go that hold a full window of a benchmark item, or of which hits are a twentieth or more."""
     # judged by the text alone, so named by it: a doc_id may be missing or that of other texts too
-    named = docs.select(text_id().alias("doc_id"), "text")
-    leaks = stored(decontaminate.contamination(named, table(spark, sf_dir, "benchmark")), "leaks").filter("contaminated").select(F.col("doc_id").alias("_text"))
-    return docs.join(leaks, text_id() == F.col("_text"), "left_anti")
+    named = docs.select(text_id(docs["text"]).alias("doc_id"), docs["text"])
+    found = decontaminate.contamination(named, table(spark, sf_dir, "benchmark"))
+    leaks = stored(found.filter("full_window or contaminated").select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
+    return docs.join(leaks, text_id(docs["text"]) == leaks["leaked"], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +45,18 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens_repair.read_shards(tokens_repair.write_shards(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("mix", mix), ("tokens", tokens)]
+def _alone(stage):
+    """The stage, after the files that earlier stages stored on their way were deleted."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with scratch(spark, docs):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, _alone(f)) for f in (language, near_duplicates, benchmark_leaks, mix, tokens)]
 
 #: The tokenizer and the classifier are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
