@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from celerix.frame import AnnFrame
-from celerix.session import BROADCAST_BYTES, cut
+from celerix.session import cut
 
 EXACT_ROWS = 30_000
 BLOCK = 2048
@@ -243,4 +243,4 @@ def ilisi(vecs: DataFrame, batches: DataFrame, k: int) -> DataFrame:
     return near.withColumn("p", share).groupBy("obs_id").agg((1 / F.sum(F.col("p") * F.col("p"))).alias("lisi"))
 
 
-__all__ = ["BROADCAST_BYTES", "bbknn", "connectivities", "exact_knn", "fuzzy_union", "fuzzy_weights", "ilisi", "ivf_knn", "knn", "neighbors", "nn_descent", "trim"]
+__all__ = ["bbknn", "connectivities", "exact_knn", "fuzzy_union", "fuzzy_weights", "ilisi", "ivf_knn", "knn", "neighbors", "nn_descent", "trim"]

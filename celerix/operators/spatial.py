@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,6 +212,8 @@ def triangulate(points: np.ndarray) -> set[tuple[int, int]]:
 
 def delaunay_edges(pts: DataFrame) -> DataFrame:
     """Both directions of each triangulation edge, one library a task."""
+    if _dimension(pts) != 2:
+        raise ValueError("points to triangulate have two coordinates")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("obs_id")
@@ -343,18 +347,61 @@ def default_thresholds(pts: DataFrame, interval: int = 50) -> list[float]:
     return np.linspace(d(low[0], low[1]), d(low[0], high[0]) / 2, interval).tolist()
 
 
+PAIR_BLOCK = 2048  # points of a cell that meet as many others in one task
+
+
+def _pair_histogram(pts: DataFrame, limits: list[float]) -> DataFrame:
+    """cc, ci, bin, n of ordered pairs of labelled points (obs_id, vec, c), by the first limit they are within; a pair beyond the last is not counted.
+
+    Cells as wide as the last limit are cut into blocks; adjacent cells' blocks meet, and a meeting gives counts, not pairs.
+    """
+    dim = _dimension(pts)
+    if dim not in (2, 3):
+        raise ValueError("points have two or three coordinates")
+    width = limits[-1] if limits[-1] > 0 else 1e-9
+    homes = pts.withColumn("cell", F.transform("vec", lambda v: F.floor(v / F.lit(float(width)))))
+    sizes = homes.groupBy("cell").agg(F.ceil(F.count("*") / PAIR_BLOCK).alias("blocks"))
+    blocks = homes.join(sizes, "cell").groupBy("cell", F.pmod(F.xxhash64("obs_id"), "blocks").alias("block")).agg(F.collect_list(F.struct("vec", "c")).alias("p"))
+    steps = np.array(np.meshgrid(*[[-1, 0, 1]] * dim)).reshape(dim, -1).T.tolist()
+    shifts = F.array(*[F.array(*[F.lit(s).cast("bigint") for s in step]) for step in steps])
+    asked = blocks.withColumn("shift", F.explode(shifts)).select(F.zip_with("cell", "shift", lambda c, s: c + s).alias("cell"), F.col("p").alias("q"), F.struct(F.col("cell").alias("home"), "block").alias("of"))
+    met = asked.join(blocks.select("cell", "p", F.struct(F.col("cell").alias("home"), "block").alias("to")), "cell").select("q", "p", (F.col("of") == F.col("to")).alias("own"))
+    edges = np.array(limits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                sides = [batch.column(c).slice(r, 1).flatten() for c in ("q", "p")]
+                (a, la), (b, lb) = (((x.field(0).flatten().to_numpy().reshape(len(x), -1)), x.field(1).to_pylist()) for x in sides)
+                names = sorted(set(la) | set(lb), key=lambda v: (v is None, v or ""))
+                code = {v: k for k, v in enumerate(names)}
+                ka, kb, k = np.array([code[v] for v in la]), np.array([code[v] for v in lb]), len(names)
+                total = np.zeros(k * k * len(edges), np.int64)
+                for at in range(0, len(a), 256):
+                    d = np.sqrt(sum((a[at : at + 256, None, j] - b[None, :, j]) ** 2 for j in range(a.shape[1])))
+                    if batch.column("own")[r].as_py():
+                        rows = np.arange(len(d))
+                        d[rows, rows + at] = np.inf
+                    place = np.searchsorted(edges, d, "left")
+                    cell = (ka[at : at + 256, None] * k + kb[None]) * len(edges) + place
+                    total += np.bincount(cell[place < len(edges)], minlength=len(total))
+                some = np.flatnonzero(total)
+                pair, place = some // len(edges), some % len(edges)
+                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in (pair // k).tolist()], pa.string()), pa.array([names[x] for x in (pair % k).tolist()], pa.string()), pa.array(place.astype(np.int32)), pa.array(total[some])], ["cc", "ci", "bin", "n"])
+
+    return met.mapInArrow(count, "cc string, ci string, bin int, n long").groupBy("cc", "ci", "bin").agg(F.sum("n").alias("n"))
+
+
 def co_occurrence(frame: AnnFrame, cluster_key: str, interval: int | list[float] = 50, spatial_key: str = "spatial") -> DataFrame:
     """cluster_i, cluster_c, bin, threshold, occ: P(i | c within the threshold) / P(i within it), for every threshold but the first.
 
-    Ordered pairs are counted by the first threshold they are within, in cells as wide as the largest threshold.
+    Ordered pairs are counted by the first threshold they are within, block by block in cells as wide as the largest threshold.
     """
     require_categorical(frame, cluster_key)
     pts = coords(frame, spatial_key)
     limits = default_thresholds(pts, interval) if isinstance(interval, int) else sorted(float(t) for t in interval)
     labels = frame.obs.select("obs_id", F.col(cluster_key).alias("c"))
-    pairs = radius_edges(pts, limits[-1])
-    first = F.aggregate(F.array(*[F.lit(t) for t in limits]), F.lit(0), lambda n, t: n + (F.col("dist") > t).cast("int"))
-    hist = pairs.join(labels.toDF("src", "cc"), "src").join(labels.toDF("dst", "ci"), "dst").groupBy("cc", "ci", first.alias("bin")).agg(F.count("*").alias("n"))
+    hist = _pair_histogram(pts.join(labels, "obs_id"), limits)
     names = labels.select("c").distinct()
     bins = frame.x.sparkSession.createDataFrame([(k, t) for k, t in enumerate(limits)], "bin int, threshold double")
     grid = names.toDF("cc").crossJoin(names.toDF("ci")).crossJoin(bins)  # clusters^2 x thresholds rows

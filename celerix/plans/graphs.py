@@ -83,15 +83,8 @@ def _spatial_frame(spark: SparkSession, sf_dir: str):
     return spatial.spatial_neighbors_knn(tables.vectors(spark, sf_dir))
 
 
-def _grid_frame(spark: SparkSession, sf_dir: str):
-    """The components that the SQL of moran, geary and moran_permutations names."""
-    frame = tables.vectors(spark, sf_dir)
-    frame = frame.where_var("var_id between 2 and 9")
-    return spatial.spatial_neighbors_knn(frame)
-
-
 _AUTOCORR = f"""{sql.SPATIAL}, e AS (SELECT src, dst, 1.0 / 6 AS weight FROM knn), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM obs),
-xv AS (SELECT obs_id, unnest(range(2, 10)) AS var_id, unnest(vec[3:10]) AS value FROM vec), mu AS (SELECT var_id, avg(value) AS mu FROM xv GROUP BY 1), z AS (SELECT obs_id, var_id, value - mu AS z FROM xv JOIN mu USING (var_id)),
+xv AS (SELECT obs_id, unnest(range(len(vec))) AS var_id, unnest(vec) AS value FROM vec), mu AS (SELECT var_id, avg(value) AS mu FROM xv GROUP BY 1), z AS (SELECT obs_id, var_id, value - mu AS z FROM xv JOIN mu USING (var_id)),
 zz AS (SELECT var_id, sum(z * z) AS zz FROM z GROUP BY 1), s0 AS (SELECT sum(weight) AS s0 FROM e),
 s1 AS (SELECT sum(pow(coalesce(a.weight, 0) + coalesce(b.weight, 0), 2)) / 2 AS s1 FROM e a FULL JOIN e b ON a.src = b.dst AND a.dst = b.src),
 s2 AS (SELECT sum(w * w) AS s2 FROM (SELECT i, sum(weight) AS w FROM (SELECT src AS i, weight FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY 1))"""
@@ -100,14 +93,14 @@ s2 AS (SELECT sum(w * w) AS s2 FROM (SELECT i, sum(weight) AS w FROM (SELECT src
 @query(f"""WITH {_AUTOCORR}, c AS (SELECT u.var_id, sum(weight * u.z * v.z) AS c FROM e JOIN z u ON u.obs_id = src JOIN z v ON v.obs_id = dst AND v.var_id = u.var_id GROUP BY 1)
 SELECT CAST(var_id AS INTEGER) AS var_id, {_r("n / s0 * c / zz", "I")}, {_r("(n * n * s1 - n * s2 + 3 * s0 * s0) / ((n - 1) * (n + 1) * s0 * s0) - 1 / ((n - 1) * (n - 1))", "var_norm", 9)} FROM c JOIN zz USING (var_id) CROSS JOIN n CROSS JOIN s0 CROSS JOIN s1 CROSS JOIN s2""")
 def moran(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = spatial.spatial_autocorr(_grid_frame(spark, sf_dir), "moran", with_p=False)
+    got = spatial.spatial_autocorr(_spatial_frame(spark, sf_dir), "moran", with_p=False)
     return rounded(rounded(got, "I"), "var_norm", places=9)
 
 
 @query(f"""WITH {_AUTOCORR}, c AS (SELECT u.var_id, sum(weight * (u.z - v.z) * (u.z - v.z)) AS c FROM e JOIN z u ON u.obs_id = src JOIN z v ON v.obs_id = dst AND v.var_id = u.var_id GROUP BY 1)
 SELECT CAST(var_id AS INTEGER) AS var_id, {_r("(n - 1) / (2 * s0) * c / zz", "C")}, {_r("((2 * s1 + s2) * (n - 1) - 4 * s0 * s0) / (2 * (n + 1) * s0 * s0)", "var_norm", 9)} FROM c JOIN zz USING (var_id) CROSS JOIN n CROSS JOIN s0 CROSS JOIN s1 CROSS JOIN s2""")
 def geary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = spatial.spatial_autocorr(_grid_frame(spark, sf_dir), "geary", with_p=False)
+    got = spatial.spatial_autocorr(_spatial_frame(spark, sf_dir), "geary", with_p=False)
     return rounded(rounded(got, "C"), "var_norm", places=9)
 
 
@@ -122,7 +115,7 @@ pc AS (SELECT u.var_id, perm_id, sum(weight * u.z * v.z) AS c FROM e JOIN perm O
 sims AS (SELECT var_id, n / s0 * c / zz AS sim FROM pc JOIN zz USING (var_id) CROSS JOIN n CROSS JOIN s0)
 SELECT CAST(var_id AS INTEGER) AS var_id, {_r("any_value(I)", "I")}, {_r("(least(count(*) FILTER (sim >= I), 20 - count(*) FILTER (sim >= I)) + 1) / 21.0", "pval_sim")}, {_r("var_pop(sim)", "var_sim", 9)} FROM sims JOIN obsd USING (var_id) GROUP BY 1""")
 def moran_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = spatial.spatial_autocorr(_grid_frame(spark, sf_dir), "moran", n_perms=20, with_p=False, corr_method=None)
+    got = spatial.spatial_autocorr(_spatial_frame(spark, sf_dir), "moran", n_perms=20, with_p=False, corr_method=None)
     return rounded(rounded(got.select("var_id", "I", "pval_sim", "var_sim"), "I", "pval_sim"), "var_sim", places=9)
 
 
@@ -134,7 +127,7 @@ def moran_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {sql.SPATIAL} SELECT src, dst, {_r("1.0 / 6", "weight")} FROM knn""")
 def row_normalized_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(transform.row_normalize(_grid_frame(spark, sf_dir).obsp["spatial_connectivities"]), "weight")
+    return rounded(transform.row_normalize(_spatial_frame(spark, sf_dir).obsp["spatial_connectivities"]), "weight")
 
 
 _LIMITS = "[0.05, 0.1, 0.2, 0.3, 0.5]"
@@ -162,12 +155,12 @@ def ligrec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {sql.SPATIAL}, c AS (SELECT src AS obs_id, cluster AS label, CAST(count(*) AS DOUBLE) AS w FROM knn JOIN obs ON obs.obs_id = dst GROUP BY 1, 2)
 SELECT obs_id, label, {_r("w / (sum(w) OVER (PARTITION BY obs_id) + 1e-12)", "share")} FROM c""")
 def niche_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.niche_composition(_grid_frame(spark, sf_dir), "cluster"), "share")
+    return rounded(spatial.niche_composition(_spatial_frame(spark, sf_dir), "cluster"), "share")
 
 
 @query()
 def calculate_niche(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.calculate_niche(_grid_frame(spark, sf_dir), "cluster", 4).obs.select("obs_id", "niche")
+    return spatial.calculate_niche(_spatial_frame(spark, sf_dir), "cluster", 4).obs.select("obs_id", "niche")
 
 
 def symmetric(spark: SparkSession, sf_dir: str) -> tuple:

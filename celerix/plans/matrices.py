@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,7 +229,17 @@ def score_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(markers.score_genes(frame, frame.var.filter("brand = 'Brand#11'"), ctrl_size=10), "score")
 
 
-@query()
+def _scored(tag: str, brand: str) -> str:
+    """The tables of _SCORE after bins, for the genes of a brand, and s_{tag}: obs_id, score."""
+    part = _SCORE[_SCORE.index("genes AS") :].replace("Brand#11", brand)
+    for name in ("genes", "used", "pool", "ctrl"):
+        part = re.sub(rf"\b{name}\b", f"{name}_{tag}", part)
+    part = re.sub(r"\bw AS \(", f"w_{tag} AS (", part)
+    return part + f", s_{tag} AS (SELECT obs.obs_id, coalesce(s, 0.0) AS score FROM obs LEFT JOIN (SELECT obs_id, sum(value * w) AS s FROM x JOIN w_{tag} USING (var_id) GROUP BY 1) USING (obs_id))"
+
+
+@query(f"""WITH {_SCORE[: _SCORE.index("genes AS")]}{_scored("s", "Brand#11")}, {_scored("g", "Brand#12")}
+SELECT a.obs_id, {_r("a.score", "S_score")}, {_r("b.score", "G2M_score")}, CASE WHEN a.score < 0 AND b.score < 0 THEN 'G1' WHEN a.score >= b.score THEN 'S' ELSE 'G2M' END AS phase FROM s_s a JOIN s_g b USING (obs_id)""")
 def score_cell_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = tables.baskets(spark, sf_dir)
     got = markers.score_genes_cell_cycle(frame, frame.var.filter("brand = 'Brand#11'"), frame.var.filter("brand = 'Brand#12'"), ctrl_size=10)
@@ -283,7 +295,8 @@ def embedding_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(markers.embedding_density(tables.vectors(spark, sf_dir), "spatial", "cluster"), "density", places=5)
 
 
-@query()
+@query(f"""WITH {sql.BASKETS}, l AS (SELECT DISTINCT CAST(nation AS VARCHAR) AS label FROM obs)
+SELECT label, CAST(row_number() OVER (ORDER BY CASE WHEN regexp_full_match(label, '[0-9]+') THEN CAST(label AS DECIMAL(38, 0)) END NULLS LAST, label) - 1 AS INTEGER) AS code FROM l""")
 def natural_label_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = tables.baskets(spark, sf_dir)
     return qc.natural_order(cut(frame.obs.select(F.col("nation").cast("string").alias("nation"))), "nation")

@@ -1,38 +1,42 @@
-"""Session helpers: lineage cuts and bounded broadcasts."""
+"""Session helpers: shared folders and lineage cuts."""
 
 from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 256 << 20  # matrices sent to every executor are at most this large
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that all executors share; a temporary one of our own where it is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """spark.checkpoint.dir, the folder that all executors share. Where it is unset: a temporary one in local mode, and on a cluster one in the warehouse."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="celerix-ck-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return f"file://{_own[app]}"
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="celerix-ck-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        return f"file://{_own[app]}"
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/celerix-{app}"
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; what is there when the driver's Python ends goes, if this machine can reach it."""
+    """A new path below the shared folder; its file system deletes what is there when the application ends."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    if path.startswith("file:"):
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     return path
 
 
@@ -43,11 +47,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows; as it is otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the session's Python workers, once an application, wherever they start."""
     app = spark.sparkContext.applicationId
