@@ -5,7 +5,8 @@ and id words included) and its words. A bidirectional LSTM in numpy reads the wh
 vectors, and labels every block with the document around it in view. It is trained here, on pages that a generator
 writes from common templates, whose labels are known as they are written; no row of any table is needed.
 
-Defined cases: null, empty and text-less html give the empty text; markup that never closes is read to its end; pages
+A block's path is its PATH_WORDS innermost names. Defined cases: null, empty and text-less html give the empty text;
+markup that never closes is read to its end, in time in proportion to the page; pages
 that repeat give equal texts; a null page_id or url stays null; empty tables give empty results; other columns are
 ignored; any number of blocks is read.
 """
@@ -16,6 +17,7 @@ import functools
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,11 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 TO_THE_END = {"script", "style", "textarea", "title"}  # of the silent tags, those that run to the page's end where nothing closes them
 EMPTY_IF_SLASHED = {"svg", "math"}
 
-_attributes = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
-_tag = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(s for s in SILENT if s != "head") + r")(?=[\s/>])(?:(" + _attributes + r")>|[^>]*>)|<(/?)([a-zA-Z][^\s/>]*)(" + _attributes + r")/?>|<[!?][^>]*>", re.S | re.I)
+PATH_WORDS = 64  # innermost tag and class names that a block's path holds
+
+_markup = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_end = re.compile(r""">|=\s*(?:"[^"]*"|'[^']*')""")
+_tag_name = re.compile(r"[^\s/>]+")
 _close = {s: re.compile(rf"</{s}\s*>", re.I) for s in SILENT}
 _named = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _token = re.compile(r"[a-zA-Z]+")
@@ -53,14 +58,77 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+class _Page:
+    """Tags of a page in one forward pass; whatever the markup, a character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def end(self, at: int) -> int:
+        """Where the tag whose name starts at `at` ends: after the first > outside of a quoted value, or after the first one if there is none such."""
+        start = at
+        while self.quotes and (m := _end.search(self.page, at)):
+            at = m.end()
+            if m[0] == ">":
+                return at
+        self.quotes = False  # the values that start here run to the end of the page
+        return self.page.find(">", start) + 1
+
+    def next(self, at: int) -> tuple[int, int, str]:
+        """(start, end, inside) of the next markup; inside is empty for comments and declarations. Start is the page's end if none is left."""
+        m = _markup.search(self.page, at)
+        n = len(self.page)
+        if not m:
+            return n, n, ""
+        if m[0] == "<!--":
+            end = self.page.find("-->", m.end())
+            return m.start(), n if end < 0 else end + 3, ""
+        if m.start() > self.last:
+            return n, n, ""
+        end = self.page.find(">", m.end()) + 1 if m[0] in ("<!", "<?") else self.end(m.start() + 1)
+        return m.start(), end, "" if m[0] in ("<!", "<?") else self.page[m.start() + 1 : end - 1]
+
+
+class _Stack:
+    """Open tags, each with the path of names down to it, and how many of each name are open."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, tuple[str, ...]]] = []
+        self.open: Counter = Counter()
+
+    def path(self) -> tuple[str, ...]:
+        return self.tags[-1][1] if self.tags else ()
+
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        self.tags.append((name, (*self.path(), *words)[-PATH_WORDS:]))
+        self.open[name] += 1
+
+    def cut(self, k: int) -> None:
+        for name, _ in self.tags[k:]:
+            self.open[name] -= 1
+        del self.tags[k:]
+
+    def close(self, names: set[str], stops) -> None:
+        """Close down to the innermost open tag of these names, unless one at which stops() holds comes first."""
+        if not any(self.open[n] for n in names):
+            return
+        for k in range(len(self.tags) - 1, -1, -1):
+            if self.tags[k][0] in names:
+                self.cut(k)
+                return
+            if stops(self.tags[k][0]):
+                return
+
+
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order: white space is made even, character references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # open tags with their path words
+    source, stack = _Page(page), _Stack()
     parts: list[str] = []
     linked = 0
     path: tuple[str, ...] = ()
     at = 0
+    unclosed: set[str] = set()  # silent tags that nothing closes from here on
 
     def cut() -> None:
         nonlocal linked
@@ -70,71 +138,44 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    def say(raw: str) -> None:
-        nonlocal linked, path
-        if not raw:
-            return
-        text = entities.unescape(raw)
-        if not parts or not path:
-            path = tuple(w for _, words in stack for w in words)
-        if any(t == "head" for t, _ in stack):
-            return
-        parts.append(text)
-        if any(t == "a" for t, _ in stack):
-            linked += len(text.strip())
-
-    unclosed: set[str] = set()  # silent tags that nothing closes from here on
-    while m := _tag.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        name = m[4]
-        if m[1] is not None:
-            name = m[1].lower()
-            end = None
-            if name in EMPTY_IF_SLASHED and (m[2] or "").endswith("/"):
-                end = at
-            elif name not in unclosed:
-                close = _close[name].search(page, at)
-                end = close.end() if close else len(page) if name in TO_THE_END else None
-            if end is not None:
-                at = end
+    while at < len(page):
+        start, end, inside = source.next(at)
+        if start > at:
+            if not parts or not path:
+                path = stack.path()
+            if not stack.open["head"]:
+                text = entities.unescape(page[at:start])
+                parts.append(text)
+                if stack.open["a"]:
+                    linked += len(text.strip())
+        at = end
+        if not inside:
+            continue
+        closing = inside[0] == "/"
+        m = _tag_name.match(inside, closing)
+        name, attributes = m[0].lower(), inside[m.end() :]
+        if not closing and name in SILENT and name != "head" and name not in unclosed:
+            close = None if name in EMPTY_IF_SLASHED and attributes.endswith("/") else _close[name].search(page, at)
+            if close or name in TO_THE_END or (name in EMPTY_IF_SLASHED and attributes.endswith("/")):
+                at = close.end() if close else at if name in EMPTY_IF_SLASHED else len(page)
                 parts.append(" ") if parts else None
                 continue
             unclosed.add(name)
-        if name is None:
-            continue
-        name = name.lower()
         if name not in INLINE:
             cut()
-        if m[3]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+        if closing:
+            stack.close({name}, lambda _: False)
             continue
         if name in VOID:
             continue
         if name == "body":
-            stack[:] = [x for x in stack if x[0] != "head"]
+            stack.close({"head"}, lambda _: False)
         if name in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            stack.close({"p"}, lambda t: t not in INLINE)
         elif name in SAME:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SAME[name]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
-                    break
-        words = [name]
-        if attributes := m[5] or m[2]:
-            words += [f".{t.lower()}" for g in _named.findall(attributes) for t in _token.findall("".join(g))]
-        stack.append((name, tuple(words)))
-    say(page[at:])
+            stack.close(SAME[name], lambda t: t in ("ul", "ol", "dl", "table", "select"))
+        classes = [f".{t.lower()}" for g in _named.findall(attributes) for t in _token.findall("".join(g))] if attributes else []
+        stack.push(name, (name, *classes))
     cut()
     return out
 
@@ -324,7 +365,11 @@ class Templates:
                 out.append(self._node(self._one("h2", "h3"), self._text(1, 6, False), 1))
             elif kind < 0.9:
                 out.append("<ul>" + "".join(self._node("li", self._text(2, 12), 1) for _ in range(3)) + "</ul>")
-            elif kind < 0.94:
+            elif kind < 0.92:
+                out.append("<table>" + "".join("<tr>" + "".join(self._node(self._one("td", "td", "th"), self._text(1, 3, False), 1) for _ in range(3)) + "</tr>" for _ in range(int(self.rng.integers(1, 4)))) + "</table>")
+            elif kind < 0.93:
+                out.append(f"<p>{self._node('a', self._text(6, 30), 1, ' href=#')}</p>")
+            elif kind < 0.95:
                 out.append("<blockquote>" + self._node("p", self._text(5, 30), 1) + "</blockquote>")
             else:
                 out.append(self._junk())
@@ -357,6 +402,9 @@ class Templates:
         end = "".join(f"</{re.match('[a-z]+', t)[0]}>" for t in reversed(tag.split("><")))
         after = [self._junk() for _ in range(int(self.rng.integers(0, 3)))]
         foot = self._one(f"<footer>{self._one(chr(0xE000) + self._text(3, 20), self._node('p', self._text(3, 20), 0), self._links(3))}</footer>", f"<div{self._name('footer', 'site footer', 'copyright', 'bottom')}>{self._node('p', self._text(3, 20), 0)}</div>", "")
+        if self._maybe(0.06):  # laid out by a table
+            cells = [f"<td{self._one('', self._name('menu', 'nav', 'left'))}>{self._links(3)}</td>", f"<td{self._one('', self._name('content', 'main', 'text'))}>{self._article()}</td>"]
+            return "<html><head><title>x</title></head><body>" + top[0] + f"<table{self._one('', ' width=800')}><tr>" + "".join(cells) + "</tr></table>" + foot + "</body></html>"
         return "<html><head><title>x</title></head><body>" + "".join(top) + f"<{tag}>" + self._article() + end + "".join(after) + foot + "</body></html>"
 
     def __iter__(self):

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from celerix.llm import html_blocks as H
@@ -28,6 +30,27 @@ def test_silent_tags_that_run_to_the_end():
     assert len(texts("<video src=x>v" * 20000)) == 20000
 
 
+def test_odd_markup():
+    assert texts("<p title=it's>one</p><p title='a>b' x=\"c>d\">two</p>") == ["one", "two"]
+    assert texts("<p>a<!-- x > y -->b</p><!doctype x><?php z?><p>c</p>x <b") == ["ab", "c", "x <b"]
+    assert texts("<p a=\"never closed>one</p><p>two</p>") == ["one", "two"]
+    assert texts("<table><tr><td>1<td>2<tr><td>3</table>") == ["1", "2", "3"]
+
+
+@pytest.mark.parametrize("page", ["<a" * 40000, "<a" * 40000 + ">x", "<div>x" * 20000, "<b>" * 40000 + "<div>x</div>" * 100, "<a b='" * 20000, "<p><b>" * 20000 + "x", "</p>x" * 40000, "<ul><li>" * 20000 + "x", "<!--" * 20000, "<script>" * 20000, "&amp" * 50000])
+def test_time_is_in_proportion_to_the_page(page):
+    start = time.process_time()
+    H.blocks(page)
+    assert time.process_time() - start < 5
+
+
+def test_layouts_and_cells(net):
+    """Cells and a paragraph that is one link are the article's; the text expected is written out, not made by the parser."""
+    text = "The river rose again last night, and the town waited for the morning with sandbags at every door."
+    page = f'<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li></ul></nav><article><h1>Rivers</h1><p>{text}</p><table><tr><td>20</td><td>metres wide</td></tr></table><p><a href="#">{text}</a></p><p>{text}</p></article><footer>All rights reserved by the paper.</footer></body></html>'
+    assert H.main_texts([page], net) == [f"Rivers {text} 20 metres wide {text} {text}"]
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = H.Labeller(1)
