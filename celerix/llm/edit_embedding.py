@@ -11,7 +11,7 @@ of like length share a scale. It is the text `q:bits of q:mask and bits of q + 1
 within the text from those beyond its end.
 
 Defined cases: null and empty texts have the fingerprint `-`, are 1 like each other and 0 like anything else; equal
-texts have equal fingerprints; rows of one doc_id are ordered by a hash of their text; a null doc_id comes first; a
+texts have equal fingerprints; texts of any length are walked whole; rows of one doc_id are ordered by a hash of their text; a null doc_id comes first; a
 table of one document is its own next; an empty table gives none; other columns are ignored.
 """
 
@@ -30,7 +30,8 @@ from celerix.llm.common import bounded, mix64, pieces, stored
 BITS = 128
 PERIOD = 4096  # steps after which the walk's random bits repeat
 CLASSES = 256  # characters share random bits by class
-BAND = 16  # bits of a band
+BAND = 16  # sampled bits of a band
+BANDS = 32  # bands of a scale
 BLOCK = 512  # classes of a bucket, about, that meet as many others in one task
 GRAM = 4  # characters of the runs that are counted before an edit distance is computed
 EMPTY = "-"
@@ -266,16 +267,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-def bands_of(fingerprint: str) -> list[str]:
-    """Band keys: BAND sampled bits at a time, for each scale; masked bits are zero, and a band of masked bits alone has no key."""
+_drawn = np.argsort(mix64(np.arange(BANDS * BITS, dtype=np.uint64) + np.uint64(5_000_003)).reshape(BANDS, BITS), axis=1)[:, :BAND]  # BAND of the sampled bits for each band
+
+
+def bands_of(fingerprint: str) -> list[int]:
+    """Band keys: for each scale BANDS times BAND of its sampled bits; masked bits are zero, and a band of masked bits alone has no key."""
     if fingerprint == EMPTY:
         return []
-    size = BAND // 4
-    out = []
-    q, one, two = fingerprint.split(":")
-    half = len(two) // 2
-    for scale, mask, bits in ((int(q), "f" * len(one), one), (int(q) + 1, two[:half], two[half:])):
-        out += [f"{scale}/{k // size}/{bits[k : k + size]}" for k in range(0, len(bits), size) if mask[k : k + size].strip("0")]
+    out: list[int] = []
+    for scale, (mask, bits) in _read(fingerprint).items():
+        live = mask[_drawn].any(1)
+        value = (bits[_drawn].astype(np.int64) << np.arange(BAND)).sum(1)
+        out += ((np.int64(scale) << 40) + (np.arange(BANDS, dtype=np.int64) << 24) + value)[live].tolist()
     return out
 
 
@@ -340,12 +343,18 @@ def near_pairs(docs: DataFrame, share: float = 0.05) -> DataFrame:
     all). Every pair of a bucket whose lengths allow it is verified: a bucket is cut into blocks of about BLOCK classes by
     hash, and each two blocks meet in a task of their own.
     """
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
+    body = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
     classes = body.withColumn("hash", F.sha2("text", 256)).groupBy("hash").agg(F.min("doc_id").alias("name"), F.first("text").alias("text"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "name", "text"), "classes")
-    prints = fingerprints(classes.select(F.col("class").alias("doc_id"), "text")).withColumnRenamed("doc_id", "class")
-    keys = F.udf(bands_of, "array<string>")
-    posts = stored(prints.select("class", "n_chars", F.explode(keys("fingerprint")).alias("band")), "posts")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [bands_of(f) for f in batch.column("fingerprint").to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("n_chars").take(row), pa.array([x for k in keys for x in k], pa.int64())], ["class", "n_chars", "band"])
+
+    prints = fingerprints(classes.select(F.col("class").alias("doc_id"), "text"))
+    posts = stored(prints.mapInArrow(post, "class long, n_chars long, band long"), "posts")
     sizes = posts.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("k")).filter("k > 1")
     posts = posts.join(sizes.drop("k"), "band").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     one = posts.select("band", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("class").alias("x"), F.col("n_chars").alias("nx"))
@@ -355,9 +364,15 @@ def near_pairs(docs: DataFrame, share: float = 0.05) -> DataFrame:
     pairs = stored(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     text = lambda side: classes.select(F.col("class").alias(side), F.struct("name", "class").alias("n" + side), F.col("text").alias("t" + side))
 
-    def verify(x: str, y: str) -> int | None:
-        most = int(share * max(len(x), len(y)))
-        return None if few_grams_shared(_codes(x), _codes(y), most) else edit_distance(x, y, most)
-
-    found = pairs.join(text("x"), "x").join(text("y"), "y").withColumn("distance", F.udf(verify, "int")("tx", "ty")).filter("distance is not null")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[int | None] = []
+            for x, y in zip(batch.column("tx").to_pylist(), batch.column("ty").to_pylist(), strict=True):
+                most = int(share * max(len(x), len(y)))
+                out.append(None if few_grams_shared(_codes(x), _codes(y), most) else edit_distance(x, y, most))
+            yield pa.RecordBatch.from_arrays([batch.column("nx"), batch.column("ny"), pa.array(out, pa.int32())], ["nx", "ny", "distance"])
+
+    near = pairs.join(text("x"), "x").join(text("y"), "y").select("nx", "ny", "tx", "ty")
+    kind = "struct<name: bigint, class: bigint>"
+    found = near.mapInArrow(verify, f"nx {kind}, ny {kind}, distance int").filter("distance is not null")
     return found.select(F.least("nx", "ny")["name"].alias("a"), F.greatest("nx", "ny")["name"].alias("b"), "distance")

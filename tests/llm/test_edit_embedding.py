@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from celerix.llm import edit_embedding as E
 
 from .conftest import docs_of
@@ -105,3 +106,25 @@ def test_gram_count_rules_out_no_near_text():
         y = "".join(c for c in x if rng.random() > 0.05) + rng.choice(["", "a", "bc"])
         d = E.edit_distance(x, y, 100)
         assert not E.few_grams_shared(E._codes(x), E._codes(y), d)
+
+
+@pytest.mark.parametrize(("length", "edits"), [(300, 7), (600, 15), (3000, 30)])
+def test_recall_against_brute_force(spark, length, edits):
+    """Clusters of texts up to the limit apart (edits from a common text each, so twice as many between two)."""
+    rng = random.Random(length)
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    rows, near = [], set()
+    for c in range(4):
+        base = [rng.choice(letters) for _ in range(length)]
+        for k in range(8):
+            t = list(base)
+            for _ in range(rng.randrange(1, edits + 1)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randrange(2)] = [rng.choice(letters)] if rng.random() < 0.7 else []
+            rows.append((100 * c + k, "".join(t)))
+    for a, x in rows:
+        for b, y in rows:
+            if a < b and E.edit_distance(x, y, int(0.05 * max(len(x), len(y)))) is not None:
+                near.add((a, b))
+    got = {(r["a"], r["b"]) for r in E.near_pairs(docs_of(spark, rows)).collect()}
+    assert got <= near and len(got) >= 0.9 * len(near) > 50
