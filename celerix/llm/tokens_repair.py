@@ -147,7 +147,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _slot(pair: np.ndarray) -> np.ndarray:
-    return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
+    return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
 
 
 def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, int]:
@@ -156,26 +156,30 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
     The first round takes the pairs at least an EIGHTH as frequent as the first, each next one goes an EIGHTH further down;
     where two replacements meet, the more frequent pair wins. It ends when no pair occurs min_count times.
     """
-    sequence = ids.astype(np.int64)
+    sequence = ids.astype(np.uint32)
     first = int(sequence.max(initial=0)) + 1
     rules: list[np.ndarray] = []
     symbols = first
     table = np.zeros(1 << 20, np.int32)
     least = 1 << 62
     while len(sequence) > 1:
-        pair = sequence[:-1] << 32 | sequence[1:]
-        pair[(sequence[:-1] == END) | (sequence[1:] == END)] = -1
+        # a pair as one number; the end id with itself, which never is replaced, stands for all pairs that hold it
+        wide, shift = (np.uint32, 16) if symbols <= 1 << 16 else (np.uint64, 32)
+        pair = sequence[:-1].astype(wide) << wide(shift) | sequence[1:]
+        none = wide(END << shift | END)
+        ends = np.flatnonzero(sequence == END)
+        pair[ends[ends < len(pair)]] = pair[ends[ends > 0] - 1] = none
         # of a run of one pair only every second place can be replaced, and counts
         again = np.flatnonzero(pair[1:] == pair[:-1]) + 1
         if len(again):
             new = np.concatenate([[True], np.diff(again) > 1])
             at = np.arange(len(again))
-            pair[again[(at - np.maximum.accumulate(np.where(new, at, 0))) % 2 == 0]] = -1
+            pair[again[(at - np.maximum.accumulate(np.where(new, at, 0))) % 2 == 0]] = none
         ordered = np.sort(pair)
         cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(np.append(cut, len(ordered)))
         keys = ordered[cut]
-        count[keys < 0] = 0
+        count[keys == none] = 0
         least = max(min_count, min(least, int(count.max())) // EIGHTH)
         good = count >= least
         keys, count = keys[good], count[good]
@@ -184,12 +188,13 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
                 break
             continue
         rank = np.empty(len(keys), np.int64)
-        rank[np.lexsort((_slot(keys * 31 + 7), -count))] = np.arange(len(keys), 0, -1)  # the highest for the most frequent, by hash among equals
+        rank[np.lexsort((_slot(keys ^ wide(0x9E37)), -count))] = np.arange(len(keys), 0, -1)  # the highest for the most frequent, by hash among equals
         # each pair's key by hash; of keys that share a slot the most frequent keeps it, the others wait for the next round
         order = np.argsort(rank, kind="stable")
         table[_slot(keys[order])] = order
+        rule = np.stack([keys >> wide(shift), keys & wide((1 << shift) - 1)], axis=1).astype(np.int64)
         left, right = np.zeros((2, symbols), bool)
-        left[keys >> 32], right[keys & 0xFFFFFFFF] = True, True
+        left[rule[:, 0]], right[rule[:, 1]] = True, True
         place = np.flatnonzero(left[sequence[:-1]] & right[sequence[1:]])
         at = np.minimum(table[_slot(pair[place])], len(keys) - 1)
         found = keys[at] == pair[place]
@@ -213,9 +218,9 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
         take, at = take[enough[at]], at[enough[at]]
         sequence[take] = symbols + (np.cumsum(enough) - 1)[at]
         sequence = np.delete(sequence, take + 1)
-        rules.append(np.stack([keys[enough] >> 32, keys[enough] & 0xFFFFFFFF], axis=1))
+        rules.append(rule[enough])
         symbols += int(enough.sum())
-    return sequence, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), first
+    return sequence.astype(np.int64), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), first
 
 
 class Expansions:
