@@ -2,19 +2,20 @@
 
 Features of a whole text: densities of a lexicon (words and word beginnings learned from labels by log odds, and a
 small fixed one), their share near a second-person pronoun, capitals, punctuation and obfuscation rates, and length.
-The lexicon, the trees and the calibration are each learned from another part of a bounded sample of labelled rows, so
-that no stage sees the noise that an earlier one fitted.
+They are learned from a bounded sample of labelled rows by cross-fitting, at any size: a row's features come from a
+lexicon learned without its fold, and the margin that calibrates it from trees grown without its fold, so no stage sees
+the noise that an earlier one fitted. What scores other texts is learned from all folds.
 
 Defined cases: null, empty and wordless texts have features of 0 and the score that these give; without usable labels,
 or with labels of one class only, every score is that class's share (0.5 without labels); rows that repeat are scored
-alike; a null doc_id is not held out and not learned from; of several labels of a doc_id the greatest counts; other
-columns are ignored.
+alike; a null doc_id is not held out and not learned from; of several labels of a doc_id the greatest counts; texts of
+any length are read whole; other columns are ignored. The sample has SAMPLE_ROWS rows, the lexicon LEXICON forms, each of
+LEAST_TEXTS toxic texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from celerix.llm.common import bounded, pieces, remainder, stored, text_bytes
 
 SAMPLE_ROWS = 9000  # bound of the labelled sample
-LEXICON = 600
+LEXICON, LEAST_TEXTS = 600, 3
+FOLDS = 5
 TREES, DEPTH, BINS, RATE = 80, 3, 32, 0.15
 
 #: Second-person pronouns, and insults that are common in English.
@@ -123,22 +125,38 @@ def features(texts: list[bytes], words: Words) -> np.ndarray:
     return out
 
 
+def forms(raw: bytes) -> set[str]:
+    """The normal words of a text and their beginnings (ending in ~)."""
+    return {f for w in {normal(w) for w in set(raw.decode("utf-8", "replace").split())} if w for f in (w, *beginnings(w))}
+
+
+def lexica(texts: list[bytes], labels: np.ndarray, fold: np.ndarray, most: int = LEXICON) -> list[tuple[set[str], set[str]]]:
+    """For each of FOLDS folds the lexicon of the rows outside of it, and that of all rows: strong and weak forms, by smoothed log odds of toxic texts.
+
+    Only forms of toxic texts are counted, so what is held does not grow with the other texts.
+    """
+    at: dict[str, int] = {}
+    toxic = np.flatnonzero(labels).tolist()
+    found = [np.array([at.setdefault(f, len(at)) for f in forms(texts[k])], np.int32) for k in toxic]
+    counts = np.zeros((len(at), 2, FOLDS + 1), np.int32)
+    for k, ids in zip(toxic, found, strict=True):
+        counts[ids, 1, fold[k]] += 1
+    for k in np.flatnonzero(labels == 0).tolist():
+        counts[[at[f] for f in forms(texts[k]) if f in at], 0, fold[k]] += 1
+    totals = np.stack([np.bincount(fold[labels == y], minlength=FOLDS + 1) for y in (0, 1)])
+    names, out = np.array(list(at), object), []
+    for own in range(FOLDS + 1):  # the last has no rows of its own
+        (clean, toxic), (n, m) = (counts.sum(2) - counts[:, :, own]).T, totals.sum(1) - totals[:, own]
+        odds = np.log((toxic + 0.5) / (m - toxic + 0.5)) - np.log((clean + 0.5) / (n - clean + 0.5))
+        good = np.flatnonzero((toxic >= LEAST_TEXTS) & (odds > 1.5))
+        ranked = sorted(((odds[k] + 0.2 * np.log(toxic[k]), names[k], odds[k]) for k in good), reverse=True)[:most]
+        out.append(({f for _, f, o in ranked if o > 3}, {f for _, f, o in ranked if o <= 3}))
+    return out
+
+
 def lexicon(texts: list[bytes], labels: np.ndarray, most: int = LEXICON) -> tuple[set[str], set[str]]:
     """Words and word beginnings (ending in ~) of toxic texts by smoothed log odds: strong ones, weak ones."""
-    by: tuple[Counter, Counter] = (Counter(), Counter())
-    totals = np.bincount(labels, minlength=2)
-    for raw, y in zip(texts, labels.tolist(), strict=True):
-        plain = {normal(w) for w in set(raw.decode("utf-8", "replace").split())}
-        by[y].update({f for w in plain if w for f in (w, *beginnings(w))})
-    ranked = []
-    for form, t in by[1].items():
-        if t >= 3:
-            odds = np.log((t + 0.5) / (totals[1] - t + 0.5)) - np.log((by[0][form] + 0.5) / (totals[0] - by[0][form] + 0.5))
-            if odds > 1.5:
-                ranked.append((odds + 0.2 * np.log(t), form, odds))
-    ranked.sort(reverse=True)
-    top = ranked[:most]
-    return {f for _, f, o in top if o > 3}, {f for _, f, o in top if o <= 3}
+    return lexica(texts, labels, np.zeros(len(texts), np.int64), most)[-1]
 
 
 class Trees:
@@ -218,22 +236,21 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 class Model:
     def __init__(self, texts: list[bytes], labels: np.ndarray, turn: np.ndarray):
-        """turn: 0 to 9 for each row; rows 0-4 teach the lexicon, 5-7 the trees, 8-9 the calibration."""
+        """turn: a number for each row; rows of one turn modulo FOLDS are a fold."""
         self.words, self.trees, self.curve = Words(set(), set()), None, None
         self.constant = 0.5 if not len(labels) else float(labels.mean())
-        if len(labels) < 30 or labels.min() == labels.max():
+        if not len(labels) or labels.min() == labels.max():
             return
-        first = turn < 5
-        self.words = Words(*lexicon([t for t, u in zip(texts, first, strict=True) if u], labels[first]))
-        x = features(texts, self.words)
-        second, third = (turn >= 5) & (turn < 8), turn >= 8
-        if len(labels) < 2000:  # too few to calibrate apart
-            second = third = turn >= 5
-        if len(np.unique(labels[second])) < 2 or len(np.unique(labels[third])) < 2:
-            second = third = np.ones(len(labels), bool)
-        self.trees = Trees(x[second], labels[second])
-        self.curve = isotonic(self.trees.margin(x[third]), labels[third])
-        self.words.clear()
+        x, margin = np.zeros((len(labels), len(FEATURES))), np.zeros(len(labels))
+        *without, whole = lexica(texts, labels, turn % FOLDS)
+        for f, listed in enumerate(without):
+            own = np.flatnonzero(turn % FOLDS == f)
+            x[own] = features([texts[k] for k in own], Words(*listed))
+        for f in range(FOLDS):
+            own = turn % FOLDS == f
+            if own.any() and not own.all():
+                margin[own] = Trees(x[~own], labels[~own]).margin(x[own])
+        self.words, self.trees, self.curve = Words(*whole), Trees(x, labels), isotonic(margin, labels)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.trees is None:

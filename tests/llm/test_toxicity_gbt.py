@@ -41,6 +41,51 @@ def test_features():
     assert not X.features([b"", b" \n"], words).any()
 
 
+def test_lexica_against_plain_counts():
+    """Each fold's lexicon is that of the other folds' rows, counted form by form."""
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}{c}" for a in ("zor", "gim", "pla") for b in ("kel", "mon", "ti") for c in ("", "da", "ri", "so")]
+    texts = [" ".join(rng.choice(words[:12] if toxic else words[6:], 6)).encode() for toxic in [1, 0, 0] * 60]
+    y, fold = np.array([1, 0, 0] * 60), rng.integers(0, X.FOLDS, 180)
+    got = X.lexica(texts, y, fold)
+    for own in range(X.FOLDS + 1):
+        rows = [k for k in range(180) if fold[k] != own]
+        want = {1: set(), 0: set()}
+        for f in {f for k in rows if y[k] for f in X.forms(texts[k])}:
+            t, c = (sum(f in X.forms(texts[k]) for k in rows if y[k] == v) for v in (1, 0))
+            n, m = (sum(int(y[k]) == v for k in rows) for v in (1, 0))
+            odds = np.log((t + 0.5) / (n - t + 0.5)) - np.log((c + 0.5) / (m - c + 0.5))
+            if t >= X.LEAST_TEXTS and odds > 1.5:
+                want[int(odds > 3)].add(f)
+        assert got[own] == (want[1], want[0]) and want[1]
+
+
+def test_first_split_against_brute_force():
+    """The root of the first tree gains as much as the best of all cuts tried one by one."""
+    rng = np.random.default_rng(4)
+    x = rng.random((300, len(X.FEATURES))).round(2)
+    y = (x[:, 5] + 0.3 * rng.random(300) > 0.7).astype(int)
+    tree = X.Trees(x, y, trees=1, depth=1)
+    p = y.mean()
+
+    def gain(j, c):
+        total = 0.0
+        for side in (x[:, j] <= c, x[:, j] > c):
+            total += (p - y[side]).sum() ** 2 / (side.sum() * p * (1 - p) + 1)
+        return total
+
+    best = max(gain(j, c) for j in range(x.shape[1]) for c in np.unique(x[:, j]))
+    assert tree.feature[0][0] == 5 and gain(int(tree.feature[0][0]), tree.cut[0][0]) > 0.95 * best
+
+
+def test_few_labels_are_learned_from(spark):
+    rows = [(k, ["you are kind and good", "you zorkish grumph idiot"][k % 2] + f" w{k}") for k in range(25)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(25)], "doc_id long, quality int, toxic int")
+    got = X.toxicity(docs_of(spark, rows), X.learn(docs_of(spark, rows), labels)).collect()
+    toxic, clean = ([r["score"] for r in got if r["doc_id"] % 2 == v] for v in (1, 0))
+    assert min(toxic) > max(clean)
+
+
 def test_edges(spark, corpus):
     docs = docs_of(spark, corpus)
     labels = spark.createDataFrame([(r[0], 1, int(k % 2)) for k, r in enumerate(corpus)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
