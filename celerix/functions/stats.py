@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
 @F.pandas_udf(DoubleType())
@@ -20,39 +21,51 @@ def normal_sf(z: pd.Series) -> pd.Series:
     return pd.Series(0.5 * _erfc(z.to_numpy(float) / math.sqrt(2)))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, by modified Lentz steps."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    out = d
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function, by modified Lentz steps; elements leave as they settle."""
+
+    def apart(v: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(v) > 1e-300, v, 1e-300)
+
+    c, d = np.ones_like(x), 1 / apart(1 - (a + b) * x / (a + 1))
+    out, live = d.copy(), np.arange(len(x))
     for m in range(1, 400):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 + top * d, 1 + top / c
-            d, c = 1 / (d if abs(d) > tiny else tiny), (c if abs(c) > tiny else tiny)
-            out *= d * c
-        if abs(d * c - 1) < 1e-15:
+        p, q, z = a[live], b[live], x[live]
+        for top in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 / apart(1 + top * d), apart(1 + top / c)
+            out[live] *= d * c
+        going = np.abs(d * c - 1) >= 1e-15
+        if not going.any():
             break
+        live, c, d = live[going], c[going], d[going]
     return out
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+def incomplete_beta(a, b, x) -> np.ndarray:
+    """The regularised incomplete beta function of numbers or arrays; 0 below 0 and 1 above 1."""
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
+    out = np.where(np.isnan(x), np.nan, (x >= 1).astype(float))
+    ok = (x > 0) & (x < 1)
+    a, b, x = a[ok], b[ok], x[ok]
+    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x))
+    low = x < (a + 1) / (a + b + 2)
+    p, q, z = np.where(low, a, b), np.where(low, b, a), np.where(low, x, 1 - x)
+    part = front * _beta_fraction(p, q, z) / p
+    out[ok] = np.where(low, part, 1 - part)
+    return out
 
 
-def student_two_sided(t: float, df: float) -> float:
-    if math.isnan(t) or math.isnan(df) or df <= 0:
-        return math.nan
+def student_two_sided(t, df) -> np.ndarray:
+    """Two-sided p of numbers or arrays; NaN where t is, and without degrees of freedom."""
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    df = np.where(df > 0, df, np.nan)
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
 @F.pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t."""
-    return pd.Series([student_two_sided(float(a), float(b)) if a is not None and b is not None else math.nan for a, b in zip(t, df, strict=True)])
+    return pd.Series(student_two_sided(t.to_numpy(float), df.to_numpy(float)))
 
 
 def bonferroni(p: Column, n: Column) -> Column:

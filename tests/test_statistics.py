@@ -31,6 +31,12 @@ def test_student_and_normal(spark):
     assert math.isclose(stats.student_two_sided(2.0, 10), 0.07338803477074, rel_tol=1e-9)
     assert math.isclose(stats.student_two_sided(-1.5, 3.5), stats.student_two_sided(1.5, 3.5))
     assert math.isclose(stats.incomplete_beta(2, 3, 0.4), 0.5248, rel_tol=1e-12)
+    t = stats.student_two_sided(np.array([2.0, np.nan, np.inf, 0.0, 2.0]), np.array([10.0, 3, 3, 3, -1]))
+    assert np.allclose(t, [0.07338803477074, np.nan, 0, 1, np.nan], rtol=1e-9, equal_nan=True)
+    x = np.linspace(-0.1, 1.1, 50)  # a = 1, b = 4: 1 - (1 - x)^4
+    assert np.allclose(stats.incomplete_beta(1, 4, x), 1 - (1 - x.clip(0, 1)) ** 4, atol=1e-14)
+    none = spark.createDataFrame([(2.0, 10.0), (None, 3.0)], "t double, df double").select(stats.student_p("t", "df")).collect()
+    assert math.isclose(none[0][0], 0.07338803477074, rel_tol=1e-9) and (none[1][0] is None or math.isnan(none[1][0]))
     z = spark.createDataFrame([(1.959963984540054,), (0.0,)], "z double").select(stats.normal_sf("z")).collect()
     assert math.isclose(z[0][0], 0.025, rel_tol=1e-9) and z[1][0] == 0.5
 
