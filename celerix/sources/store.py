@@ -73,7 +73,7 @@ def iter_row_blocks(x: DataFrame, block_rows: int = 100_000) -> DataFrame:
         ends = [0]
         for n in counts.column("var_id_count").to_pylist():
             ends.append(ends[-1] + n)
-        one = lambda c: pa.array([t.column(c).to_pylist()])
+        one = lambda c: pa.array([t.column(c).to_pylist()], pa.list_(t.schema.field(c).type))
         return pa.table({"block": t.column("block").slice(0, 1), "ids": pa.array([counts.column("obs_id").to_pylist()], pa.list_(pa.int64())), "indptr": pa.array([ends], pa.list_(pa.int64())), "var_ids": one("var_id"), "values": one("value")})
 
     kind = dict(x.dtypes)["var_id"]
@@ -105,9 +105,38 @@ def write_report(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_matrix_market(spark: SparkSession, source: str, transpose: bool = False) -> AnnFrame:
+    """The coordinate matrix in a Matrix Market file (.mtx, .mtx.gz): rows are obs, columns var (the other way round if
+    transpose), both counted from 0 and there even where they are empty; repeated entries add up."""
+    lines = spark.read.text(source).select(F.trim("value").alias("line"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("place"))
+    top = lines.filter("at = 0 and line <> ''").orderBy("place")
+    banner = top.first()
+    kind = banner["line"].lower().split() if banner else []
+    if kind[:3] != ["%%matrixmarket", "matrix", "coordinate"] or kind[3:4] not in (["real"], ["integer"], ["pattern"]) or kind[4:] not in (["general"], ["symmetric"], ["skew-symmetric"]):
+        raise ValueError("a Matrix Market file of real, integer or pattern coordinates is needed")
+    body = "line <> '' and not startswith(line, '%')"
+    sizes = top.filter(body).first()
+    if sizes is None:
+        raise ValueError("the file names no size")
+    n_obs, n_var = (int(v) for v in sizes["line"].split()[:2])
+    part = F.split("line", r"\s+")
+    value = F.lit(1.0) if kind[3] == "pattern" else part[2].cast("double")
+    x = lines.filter(body).filter(F.col("place") != sizes["place"]).select((part[0].cast("long") - 1).alias("obs_id"), (part[1].cast("long") - 1).alias("var_id"), value.alias("value"))
+    if kind[4] != "general":
+        x = x.union(x.filter("obs_id <> var_id").select("var_id", "obs_id", F.col("value") * (-1 if kind[4] == "skew-symmetric" else 1)))
+    if transpose:
+        n_obs, n_var = n_var, n_obs
+        x = x.select(F.col("var_id").alias("obs_id"), F.col("obs_id").alias("var_id"), "value")
+    x = x.groupBy("obs_id", "var_id").agg(F.sum("value").alias("value")).filter("value <> 0")
+    return AnnFrame(spark.range(n_obs).toDF("obs_id"), spark.range(n_var).select(F.col("id").cast("string").alias("var_id")), x.withColumn("var_id", F.col("var_id").cast("string")))
+
+
 def convert(spark: SparkSession, source: str, path: str, block_rows: int = 20_000) -> AnnFrame:
-    """A (obs, var, value) table in Parquet, ORC, CSV or JSON made a store; columns are named obs_id, var_id, value."""
-    kind = source.rstrip("/").rsplit(".", 1)[-1].lower()
+    """A (obs, var, value) table in Parquet, ORC, CSV or JSON, with columns obs_id, var_id, value, or a Matrix Market file, made a store."""
+    kind = source.rstrip("/").removesuffix(".gz").rsplit(".", 1)[-1].lower()
+    if kind == "mtx":
+        write_store(read_matrix_market(spark, source), path, block_rows)
+        return open_store(spark, path)
     reader = spark.read.option("header", True) if kind == "csv" else spark.read
     raw = reader.format({"csv": "csv", "json": "json", "orc": "orc"}.get(kind, "parquet")).load(source)
     x = raw.select(F.col("obs_id").cast("long"), F.col("var_id").cast("string"), F.col("value").cast("double")).groupBy("obs_id", "var_id").agg(F.sum("value").alias("value")).filter("value <> 0")
