@@ -77,8 +77,18 @@ def ivf_knn(vecs: DataFrame, k: int, nprobe: int = 5, seed: int = 0, include_sel
 
     n = vecs.count()
     centres = kmeans_centres(vecs, max(2, n // 1500), seed=seed, max_iter=10)
-    near = F.udf(lambda v: np.argsort(((centres - np.array(v)) ** 2).sum(1), kind="stable")[:nprobe].tolist(), "array<int>")
-    cells = cut(vecs.withColumn("cells", near("vec")))
+    step = max(1, (1 << 22) // max(1, centres.size))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                d = ((_unpack(part.column("vec"))[:, None] - centres[None]) ** 2).sum(2)
+                cells = np.argsort(d, axis=1, kind="stable")[:, :nprobe].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("obs_id"), part.column("vec"), pa.array(cells.tolist(), pa.list_(pa.int32()))], ["obs_id", "vec", "cells"])
+
+    kinds = dict(vecs.dtypes)
+    cells = cut(vecs.select("obs_id", "vec").mapInArrow(near, f"obs_id {kinds['obs_id']}, vec {kinds['vec']}, cells array<int>"))
     home = cells.select(F.col("obs_id").alias("nbr_id"), F.col("vec").alias("w"), F.col("cells")[0].alias("cell"))
     asked = cells.select("obs_id", "vec", F.explode("cells").alias("cell"))
     pairs = asked.join(home, "cell")

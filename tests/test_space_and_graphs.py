@@ -131,6 +131,8 @@ def test_approximate_neighbours_recall(spark):
     assert want == {k for k in brute_knn(v, 8)}
     got = {(r["obs_id"], r["nbr_id"]) for r in neighbors.nn_descent(vecs, 8).collect()}
     assert len(want & got) > 0.9 * len(want)
+    cells = {(r["obs_id"], r["nbr_id"]) for r in neighbors.ivf_knn(vecs, 8).collect()}  # two cells, both searched
+    assert cells == want
 
 
 def test_pca_and_kmeans_against_numpy(spark):
