@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,43 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+_left: dict[str, dict] = {}  # by operator: what its tasks leave to its next ones in the same worker
+
+
+def left(operator: str) -> dict:
+    """A dict of this process that lasts from task to task of one operator, until a lean() task of another one begins."""
+    return _left.setdefault(operator, {})
+
+
+def forget(operator: str | None) -> None:
+    """Drop what the tasks of other operators left."""
+    for name, kept in _left.items():
+        if name != operator:
+            kept.clear()
+
+
+def hand_back() -> None:
+    """Give the system what was freed: Arrow's pool and the C library keep it for later, and numpy's arrays come from the latter."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator], operator: str | None = None) -> Callable[[Iterator], Iterator]:
+    """run, a function for mapInArrow, that leaves no memory behind. Python workers serve one stage after the other, so
+    what they keep counts beside each later stage: first what other operators left is dropped, and at the end what the task
+    itself freed goes back to the system."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(operator)
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return task
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text of an Arrow string column; null gives b''."""
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]

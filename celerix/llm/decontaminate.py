@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from celerix.llm.common import bounded, pieces, remove, stored, text_bytes
+from celerix.llm.common import bounded, lean, pieces, remove, stored, text_bytes
 
 WINDOW = 13
 GAP = 64  # widest phrase or proximity span that a segment can answer, in words
@@ -157,7 +157,7 @@ def build_index(docs: DataFrame, segment_bytes: int = 8 << 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([segment.dump()], pa.binary())], ["segment_id", "ids", "segment"])
 
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, "segment_id string, ids array<long>, segment binary"), "postings")
+    return stored(rows.mapInArrow(lean(run), "segment_id string, ids array<long>, segment binary"), "postings")
 
 
 def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
@@ -227,7 +227,7 @@ def find_items(index: DataFrame, items: list[tuple[str, bytes]], size: int = WIN
                     ["segment_id", "ordinal", "doc_id", "n_words", "spans", "items", "full_window"],
                 )
 
-    return index.mapInArrow(run, "segment_id string, ordinal long, doc_id long, n_words long, spans array<array<long>>, items array<string>, full_window boolean")
+    return index.mapInArrow(lean(run), "segment_id string, ordinal long, doc_id long, n_words long, spans array<array<long>>, items array<string>, full_window boolean")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -264,7 +264,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "full_window"],
             )
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, full_window boolean")
+    return found.mapInArrow(lean(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, full_window boolean")
 
 
 def proximity_matches(index: DataFrame, terms: list[str], span: int) -> DataFrame:
@@ -278,4 +278,4 @@ def proximity_matches(index: DataFrame, terms: list[str], span: int) -> DataFram
                 rows = [(ids[d], a - int(segment.starts[d]), b - int(segment.starts[d])) for a, b in segment.near(wanted, span) for d in [int(segment.doc_of(np.array([a]))[0])]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["doc_id", "first", "last"])
 
-    return index.mapInArrow(run, "doc_id long, first long, last long")
+    return index.mapInArrow(lean(run), "doc_id long, first long, last long")

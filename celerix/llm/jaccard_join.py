@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from celerix.llm.common import WordHashes, bounded, mix64, pieces, remove, stored, text_bytes, text_id
+from celerix.llm.common import WordHashes, bounded, lean, mix64, pieces, remove, stored, text_bytes, text_id
 
 WIDTH = 5
 PERCENT = 80
@@ -151,7 +151,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int32())), pa.array(empties, pa.list_(pa.int32())), pa.array(parities, pa.list_(pa.int64())), posted], ["doc_id", "text_id", "n_shingles", "set_id", "bands", "empties", "parity", "posted"])
 
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("text_id"), F.col("text").cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, text_id long, n_shingles long, set_id long, bands array<int>, empties array<int>, parity array<long>, posted array<long>"), "signed")
+    return stored(rows.mapInArrow(lean(run), "doc_id long, text_id long, n_shingles long, set_id long, bands array<int>, empties array<int>, parity array<long>, posted array<long>"), "signed")
 
 
 def _shared(posts: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _shared(posts: DataFrame) -> DataFrame:
             sig, ids = s[-1:], d[-1:]
 
     ordered = posts.repartition("signature").sortWithinPartitions("signature", "set_id")
-    return stored(ordered.mapInArrow(run, "signature long, set_id long, pivot long"), "shared")
+    return stored(ordered.mapInArrow(lean(run), "signature long, set_id long, pivot long"), "shared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ class Sets:
                     keep = [k for k, x in enumerate(part.column("_set").to_pylist()) if set_hash(sets[k]) == x]
                     yield pa.RecordBatch.from_arrays([pa.array([set_hash(sets[k]) for k in keep], pa.int64()), pa.array([sets[k].view(np.int64) for k in keep], pa.list_(pa.int64()))], ["set_id", "shingles"])
 
-        found = stored(rows.mapInArrow(run, "set_id long, shingles array<long>"), "sets")
+        found = stored(rows.mapInArrow(lean(run), "set_id long, shingles array<long>"), "sets")
         remove(found.sparkSession, side)
         return found
 
@@ -358,7 +358,7 @@ def _candidates(rows: DataFrame, spanning: bool) -> DataFrame:
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(name[x], name[y])), pa.array(np.maximum(name[x], name[y]))], ["a", "b"])
 
-    return tiled(rows, "signature", F.col("members")).mapInArrow(run, "a long, b long").distinct()
+    return tiled(rows, "signature", F.col("members")).mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -420,7 +420,7 @@ def _deletion_rows(short: DataFrame, sets: Sets, label: DataFrame) -> DataFrame:
 
     shingles = sets.of(short.select("set_id").distinct())
     named = _labelled(short.join(shingles.dropDuplicates(["set_id"]), "set_id"), label).select("set_id", "component", "band", "shingles")
-    posts = stored(named.mapInArrow(post, "set_id long, component long, band int, segment int, deleted boolean, signature long"), "deletions")
+    posts = stored(named.mapInArrow(lean(post), "set_id long, component long, band int, segment int, deleted boolean, signature long"), "deletions")
     often = posts.groupBy("signature").agg(F.count_if(~F.col("deleted")).alias("whole"), F.count_if("deleted").alias("less"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     often = stored(often.filter("whole > 0 and lo <> hi").select("signature", "whole", "less"), "often")
     # a whole subset meets whole and deleted ones, a deleted one only whole ones; what no other component shares costs nothing
@@ -439,7 +439,7 @@ def _deletion_rows(short: DataFrame, sets: Sets, label: DataFrame) -> DataFrame:
                 n = len(worth)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.full(n, band, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(worth.astype(np.int32))], ["set_id", "band", "segment", "worth"])
 
-    bought = prices.mapInArrow(buy, "set_id long, band int, segment int, worth int").filter("worth > 0")
+    bought = prices.mapInArrow(lean(buy), "set_id long, band int, segment int, worth int").filter("worth > 0")
     told = live.join(bought, ["set_id", "band", "segment"], "left").select("signature", "set_id", "deleted", F.coalesce("worth", F.lit(0)).alias("worth"), (F.col("whole") + F.col("less")).alias("members"))
     return stored(told.join(sets.bits.select("set_id", "n", "parity"), "set_id"), "asked")
 
@@ -517,7 +517,7 @@ def link_counts(label: DataFrame, sets: Sets) -> DataFrame:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(n[some])], ["set_id", "n_links"])
 
-    counted = tiled(rows, "part", F.col("members")).mapInArrow(run, "set_id long, n_links long")
+    counted = tiled(rows, "part", F.col("members")).mapInArrow(lean(run), "set_id long, n_links long")
     return counted.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from celerix.llm.common import bounded, pieces, remainder, remove, stored, text_bytes
+from celerix.llm.common import bounded, lean, pieces, remainder, remove, stored, text_bytes
 
 ROWS_PER_LANGUAGE = 1500  # bounds of the labelled sample the trees are learned from
 BYTES_PER_LANGUAGE = 8 << 20
@@ -99,12 +99,12 @@ class Model:
         sizes = np.array([len(t) for t in texts], np.int64)
         raw = np.frombuffer(b"".join(b"\0\0\0" + t for t in texts), np.uint8)
         starts = np.concatenate([[0], np.cumsum(sizes + 3)])
-        symbols = self.classes[raw].astype(np.int32)
+        symbols = self.classes[raw]
         for k in range(len(texts)):  # the three leading symbols stand for the start, whatever class byte 0 has
             symbols[starts[k] : starts[k] + 3] = 0
         for lo in range(3, len(symbols), chunk):
             hi = min(lo + chunk, len(symbols))
-            s = symbols[lo - 3 : hi]
+            s = symbols[lo - 3 : hi].astype(np.int32)
             cell = self.node[(s[:-3] * a + s[1:-2]) * a + s[2:-1]] * a + s[3:]
             cost = self.bits[cell]
             first = int(np.searchsorted(starts, lo, "right")) - 1
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: Model, modulus: int = 4, held: int = 2) ->
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder("doc_id", modulus) == held, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -193,4 +193,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                 if kept.num_rows:
                     yield kept
 
-    return bounded(docs).mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(lean(run), docs.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from celerix.llm.common import bounded, pieces, stored, text_bytes
+from celerix.llm.common import bounded, lean, pieces, stored, text_bytes
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -46,7 +46,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
     text = F.col("text").cast("string")
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.withColumn("draw", F.xxhash64("doc_id", "text_hash", F.lit(9))).mapInArrow(run, "doc_id long, source string, text_hash long, draw long, size long")
+    return rows.withColumn("draw", F.xxhash64("doc_id", "text_hash", F.lit(9))).mapInArrow(lean(run), "doc_id long, source string, text_hash long, draw long, size long")
 
 
 def targets_of(sizes: list[float], weights: list[float], total: float, most: float = MOST) -> list[float]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from celerix.llm.common import bounded, pieces, stored, text_bytes
+from celerix.llm.common import bounded, lean, left, pieces, stored, text_bytes
 
 END = 1
 SHARD_TOKENS = 1 << 20
@@ -137,13 +137,11 @@ class WordEncoder:
         return out, n + 1
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    encoders = left("tokens")
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+    return encoders[path]
 
 
 def _slot(pair: np.ndarray) -> np.ndarray:
@@ -369,7 +367,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # ranges of doc_id and hash: rows of one id, however many, are shared out
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    return stored(ordered.mapInArrow(run, "part long, number long, n_tokens long, shard binary"), "tokens")
+    return stored(ordered.mapInArrow(lean(run, "tokens"), "part long, number long, n_tokens long, shard binary"), "tokens")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -389,5 +387,5 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(flat[a:b]) for a, b in zip(shard.offsets[:-1].tolist(), shard.offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array([number] * n, pa.int64()), pa.array(shard.doc_ids, pa.int64()), pa.array(shard.offsets[:-1]), pa.array(np.diff(shard.offsets)), pa.array(crc, pa.int64())], ["part", "number", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("part", "number", "shard").mapInArrow(run, "part long, number long, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "number", "shard").mapInArrow(lean(run, "tokens"), "part long, number long, doc_id long, offset long, n_tokens long, ids_crc32 long")
     return rows.join(base, (rows["part"] == base["bp"]) & (rows["number"] == base["bn"])).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
