@@ -20,6 +20,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize, self.id = self.tokenizer.model.tokenize, attrgetter("id")
         self.letters = byte_letters()
         self.parts: dict[str, bytes] = {}  # ids as 4-byte numbers
         self.reset()
@@ -88,7 +90,7 @@ class WordEncoder:
         if len(self.parts) > KNOWN_PARTS:
             self.parts.clear()
         shown = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-        ids = self.parts[text] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        ids = self.parts[text] = array("I", map(self.id, self.tokenize(shown))).tobytes()
         return ids
 
     def _learn(self, first: int, words: list[bytes]) -> None:
@@ -173,11 +175,17 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
             new = np.concatenate([[True], np.diff(again) > 1])
             at = np.arange(len(again))
             pair[again[(at - np.maximum.accumulate(np.where(new, at, 0))) % 2 == 0]] = none
+        # pairs by hash: where fewer than min_count fall on a slot, none of them pays; the others are counted one by one
+        slot = _slot(pair)
+        some = np.bincount(slot, minlength=len(table)) >= min_count
+        place = np.flatnonzero(some[slot] & (pair != none))
+        if not len(place):
+            break
+        pair, slot = pair[place], slot[place]
         ordered = np.sort(pair)
         cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(np.append(cut, len(ordered)))
         keys = ordered[cut]
-        count[keys == none] = 0
         least = max(min_count, min(least, int(count.max())) // EIGHTH)
         good = count >= least
         keys, count = keys[good], count[good]
@@ -191,11 +199,8 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
         order = np.argsort(rank, kind="stable")
         table[_slot(keys[order])] = order
         rule = np.stack([keys >> wide(shift), keys & wide((1 << shift) - 1)], axis=1).astype(np.int64)
-        left, right = np.zeros((2, symbols), bool)
-        left[rule[:, 0]], right[rule[:, 1]] = True, True
-        place = np.flatnonzero(left[sequence[:-1]] & right[sequence[1:]])
-        at = np.minimum(table[_slot(pair[place])], len(keys) - 1)
-        found = keys[at] == pair[place]
+        at = np.minimum(table[slot], len(keys) - 1)
+        found = keys[at] == pair
         place, at = place[found], at[found]
         won: list[tuple[np.ndarray, np.ndarray]] = []
         while len(place):  # the higher of neighbours wins, and what it overlaps goes

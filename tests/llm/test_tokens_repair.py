@@ -69,3 +69,15 @@ def test_grammar_compresses():
     sequence, rules, first = T.repair(flat)
     assert len(sequence) < 0.45 * len(flat) and T.expansion_lengths(rules, first).max() >= 8
     assert np.array_equal(T.expand(sequence, rules, first), flat)
+
+
+def test_pairs_that_are_too_rare_are_not_sorted(monkeypatch):
+    rng = np.random.default_rng(1)
+    rare = rng.permutation(np.arange(2, 60002)).astype(np.uint32)
+    flat = np.concatenate([rare, np.tile(np.array([70000, 70001, T.END], np.uint32), 50)])
+    sizes, plain = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda x, *a, **b: sizes.append(len(x)) or plain(x, *a, **b))
+    sequence, rules, first = T.repair(flat)
+    monkeypatch.undo()
+    assert rules.tolist() == [[70000, 70001]] and np.array_equal(T.expand(sequence, rules, first), flat)
+    assert 50 <= sum(sizes) < len(flat) / 10
