@@ -15,11 +15,9 @@ length is one document of one shard.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 from operator import attrgetter
 
 import numpy as np
@@ -35,12 +33,27 @@ END = 1
 SHARD_TOKENS = 1 << 20
 MIN_COUNT = 6  # a rule takes 12 bytes, an occurrence of a pair saves 2
 EIGHTH = 8
-KNOWN_WORDS = 300_000
-KNOWN_PARTS = 150_000
+KNOWN_PIECES = 1_000_000  # about 60 MB
+KNOWN_BYTES = 32 << 20  # of words that are no plain pieces
+PIECE_BYTES = 24
 
+WHITE, LETTER, SIGN, ODD = range(4)
 
-#: lower-case words of letters whose pre-tokens are plain: the letters, then signs that are neither letters, digits nor apostrophes; other lines match whole
-_plain = re.compile(r"^([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)$|^.+$", re.M)
+
+def _kinds() -> np.ndarray:
+    """Of each byte: ASCII white space, letters, signs that are neither letters, digits nor apostrophes; the rest is odd."""
+    kinds = np.full(256, ODD, np.uint8)
+    for kind, held in ((WHITE, b" \t\n\r\x0b\x0c"), (LETTER, bytes(range(97, 123)) + bytes(range(65, 91))), (SIGN, b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")):
+        kinds[list(held)] = kind
+    return kinds
+
+
+_kind = _kinds()
+_lower = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: what may follow C3 in a letter: U+00C0 to U+00FF but for the signs of multiplication and division; upper case among it, 0x20 below its lower case
+_second = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])
+_upper = _second & (np.arange(256) < 0x9F)
+_masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def byte_letters() -> dict[int, str]:
@@ -50,26 +63,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class _Numbers(dict):
-    """Words numbered as they are met; new ones wait in `fresh`."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.fresh.append(word)
-        return number
-
-
 class WordEncoder:
     """The tokenizer's ids of whole texts.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its space-separated words
-    in order; each distinct word goes through the library once while it is kept. A word of letters and signs after
-    them has two pre-tokens, whose ids come from the library's model at once; any other word goes through the whole
-    tokenizer. Kept words are bounded.
+    in order. A word of letters and signs after them has two pieces, whose ids come from the library's model once while
+    they are kept; pieces are lower-cased, cut and found again in whole batches, by their bytes. Any other word, and one
+    with a piece of more than PIECE_BYTES, goes through the whole tokenizer once while it is kept. What is kept is bounded.
     """
 
     def __init__(self, path: str):
@@ -77,63 +77,134 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize, self.id = self.tokenizer.model.tokenize, attrgetter("id")
-        self.letters = byte_letters()
-        self.parts: dict[str, bytes] = {}  # ids as 4-byte numbers
+        self.letters = byte_letters() | {ord("\n"): "\n"}
         self.reset()
 
     def reset(self) -> None:
-        self.known = _Numbers()
+        self.words: dict[bytes, int] = {}  # entries of words that are no pieces
+        self.words_bytes = 0
+        self.n = 1  # entries; the first stands for nothing
+        self.keys = [np.zeros(1 << 16, np.uint64) for _ in range(PIECE_BYTES // 8)]  # bytes of each entry that is a piece
         self.bounds = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
+        self.slots = np.zeros(1 << 17, np.int32)  # entries of pieces by hash, at least half of them free
 
-    def _part(self, text: str) -> bytes:
-        if len(self.parts) > KNOWN_PARTS:
-            self.parts.clear()
-        shown = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-        ids = self.parts[text] = array("I", map(self.id, self.tokenize(shown))).tobytes()
-        return ids
-
-    def _learn(self, first: int, words: list[bytes]) -> None:
-        lists: list[bytes] = []
-        odd: list[int] = []
-        add, get, part = lists.append, self.parts.get, self._part
-        for base, signs in _plain.findall(b"\n".join(words).decode("utf-8", "replace").lower()):
-            if not base:
-                odd.append(len(lists))
-                add(b"")
-            elif signs:
-                add((get(base) or part(base)) + (get(signs) or part(signs)))
-            else:
-                add(get(base) or part(base))
-        for k, e in zip(odd, self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in odd], add_special_tokens=False), strict=True):
-            lists[k] = array("I", e.ids).tobytes()
+    def _add(self, lists: list[bytes]) -> None:
+        """Entries with these ids, each a row of 4-byte numbers."""
         sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        at, need = self.bounds[first], int(sizes.sum())
-        while len(self.bounds) < first + len(words) + 1:
+        at, need = self.bounds[self.n - 1], int(sizes.sum())
+        while len(self.bounds) < self.n + len(lists):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+            self.keys = [np.concatenate([k, np.zeros_like(k)]) for k in self.keys]
         while len(self.ids) < at + need:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.bounds[first + 1 : first + 1 + len(words)] = at + np.cumsum(sizes)
+        self.bounds[self.n : self.n + len(lists)] = at + np.cumsum(sizes)
         self.ids[at : at + need] = np.frombuffer(b"".join(lists), np.uint32)
+        self.n += len(lists)
+
+    def _slot(self, keys: list[np.ndarray]) -> np.ndarray:
+        x = keys[0] * np.uint64(0x9E3779B97F4A7C15)
+        for k, odd in zip(keys[1:], (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), strict=True):
+            x += k * np.uint64(odd)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        return (x >> np.uint64(65 - len(self.slots).bit_length())).view(np.int64)
+
+    def _place(self, entries: np.ndarray) -> None:
+        at, last = self._slot([k[entries] for k in self.keys]), len(self.slots) - 1
+        while len(entries):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = entries[free]
+            lost = self.slots[at] != entries
+            entries, at = entries[lost], at[lost] + 1 & last
+
+    def _pieces(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Entries of pieces, given by their places in raw, PIECE_BYTES before its end at least; new ones are learned."""
+        view = np.ndarray((len(raw) - 7,), "<u8", raw.data, 0, (1,))
+        keys = [view[start + 8 * k] & _masks[np.clip(size - 8 * k, 0, 8)] for k in range(len(self.keys))]
+        at, last = self._slot(keys), len(self.slots) - 1
+        found = self.slots[at]
+        open_ = np.arange(len(at))
+        while True:  # on to the next slot where another piece is met
+            open_ = open_[found[open_] != 0]
+            entry, other = found[open_], np.zeros(len(open_), bool)
+            for own, k in zip(self.keys, keys, strict=True):
+                other |= own[entry] != k[open_]
+            open_ = open_[other]
+            if not len(open_):
+                break
+            at[open_] = at[open_] + 1 & last
+            found[open_] = self.slots[at[open_]]
+        new = np.flatnonzero(found == 0)
+        if len(new):
+            new = new[np.lexsort([k[new] for k in keys])]
+            first = np.zeros(len(new), bool)
+            first[0] = True
+            for k in keys:
+                first[1:] |= k[new[1:]] != k[new[:-1]]
+            found[new] = self.n - 1 + np.cumsum(first)
+            new = new[first]
+            text = raw.tobytes()
+            shown = b"\n".join([text[a : a + n] for a, n in zip(start[new].tolist(), size[new].tolist(), strict=True)])
+            entries = np.arange(self.n, self.n + len(new), dtype=np.int32)
+            self._add([array("I", map(self.id, self.tokenize(x))).tobytes() for x in shown.decode("latin-1").translate(self.letters).split("\n")])
+            for own, k in zip(self.keys, keys, strict=True):
+                own[entries] = k[new]
+            if 2 * self.n > len(self.slots):
+                while 2 * self.n > len(self.slots):
+                    self.slots = np.zeros(2 * len(self.slots), np.int32)
+                entries = np.flatnonzero(self.keys[0][: self.n]).astype(np.int32)
+            self._place(entries)
+        return found
+
+    def _odd(self, words: list[bytes]) -> list[int]:
+        """Entries of words that are no pieces; new ones go through the whole tokenizer."""
+        fresh = [w for w in dict.fromkeys(words) if w not in self.words]
+        self.words.update(zip(fresh, range(self.n, self.n + len(fresh)), strict=True))
+        self.words_bytes += sum(map(len, fresh))
+        self._add([array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)])
+        return [self.words[w] for w in words]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, END after each, and the number of each text's ids."""
-        words = [raw.split() for raw in texts]
-        if len(self.known) > KNOWN_WORDS:
+        if self.n > KNOWN_PIECES or self.words_bytes > KNOWN_BYTES:
             self.reset()
-        first = len(self.known)
-        per = np.fromiter(map(len, words), np.int64, len(words))
-        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(per.sum()))
-        if self.known.fresh:
-            self._learn(first, self.known.fresh)
-            self.known.fresh = []
-        lo = self.bounds[which]
-        size = self.bounds[which + 1] - lo
+        joined = b"\n".join([*texts, bytes(PIECE_BYTES)])
+        raw = np.frombuffer(joined, np.uint8)
+        lower, kind = _lower[raw], _kind[raw]
+        kind[len(raw) - PIECE_BYTES :] = WHITE
+        lead = np.flatnonzero(raw == 0xC3)
+        lead = lead[_second[raw[lead + 1]]]
+        kind[lead] = kind[lead + 1] = LETTER
+        lower[lead[_upper[raw[lead + 1]]] + 1] += 0x20
+        edges = np.flatnonzero(np.diff(kind == WHITE, prepend=True))
+        start, stop = edges[::2], edges[1::2]
+        # a word is plain if none of its bytes is odd and no letter stands after a sign
+        sign, letter = kind == SIGN, kind == LETTER
+        odd = np.zeros(len(start), bool)
+        for bad in (np.flatnonzero(kind == ODD), np.flatnonzero(letter[1:] & sign[:-1]) + 1):
+            odd[np.searchsorted(start, bad, "right") - 1] = True
+        signs = np.flatnonzero(np.diff(sign, prepend=False) & sign)
+        base = stop.copy()
+        base[np.searchsorted(start, signs, "right") - 1] = signs
+        odd |= (base - start > PIECE_BYTES) | (stop - base > PIECE_BYTES)
+        which = np.zeros((len(start), 2), np.int32)
+        for column, (a, b) in enumerate(((start, base), (base, stop))):
+            some = np.flatnonzero(~odd & (b > a))
+            which[some, column] = self._pieces(lower, a[some], (b - a)[some])
+        some = np.flatnonzero(odd)
+        if len(some):
+            which[some, 0] = self._odd([joined[a:b] for a, b in zip(start[some].tolist(), stop[some].tolist(), strict=True)])
+        per = np.searchsorted(start, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))  # words up to each text's end
+        which = which.ravel()
+        held = np.flatnonzero(which)
+        lo = self.bounds[which[held] - 1]
+        size = self.bounds[which[held]] - lo
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.ids[np.arange(total) + np.repeat(lo - (ends - size), size)]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per)])]
-        n = np.diff(upto)
+        upto = np.concatenate([[0], ends])[np.searchsorted(held, 2 * per)]
+        n = np.diff(upto, prepend=0)
         out = np.full(total + len(texts), END, np.uint32)
         out[np.arange(total) + np.repeat(np.arange(len(texts)), n)] = flat
         return out, n + 1

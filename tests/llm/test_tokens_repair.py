@@ -1,3 +1,5 @@
+import itertools
+import random
 import zlib
 
 from collections import Counter
@@ -62,6 +64,41 @@ def test_words_equal_the_whole_tokenizer(sf):
         at += n
 
 
+def test_random_words_equal_the_whole_tokenizer():
+    """Pieces are cut, lower-cased and found in batches: marks, signs, special tokens, long pieces and bytes near letters' ones."""
+    tokenizer, rng = Tokenizer.from_file(PATH), random.Random(3)
+    some = [*"abzABZHhKSs  \n\t.,!'-<|>09", *"éÉßÿŸ×÷ÀÞþªµÃÖİΣ語🙂", "\u0301", "\u0331", "\u0130", "\u212a", "\u212b", "\x00", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "x" * 23, "y" * 25, "!" * 30, "É" * 12]
+    encoder = T.WordEncoder(PATH)
+    for _ in range(150):
+        texts = ["".join(rng.choices(some, k=rng.randrange(50))) for _ in range(rng.randrange(25))]
+        ids, sizes = encoder.encode([t.encode() for t in texts])
+        at = 0
+        for t, n in zip(texts, sizes.tolist(), strict=True):
+            assert ids[at : at + n].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, T.END], t
+            at += n
+        assert at == len(ids)
+
+
+def test_each_piece_goes_through_the_model_once():
+    encoder, calls = T.WordEncoder(PATH), []
+    plain = encoder.tokenize
+    encoder.tokenize = lambda x: calls.append(x) or plain(x)
+    words = ["".join(w).encode() for w in itertools.product("bcdfghjklmnprstvwxyz", repeat=4)]
+    for shape in (b"%s", b"%s,", b"%s!"):
+        encoder.encode([b" ".join((shape % w).title() for w in words)])
+    assert len(calls) == len(set(calls)) == len(words) + 2
+
+
+def test_kept_words_are_bounded_by_their_bytes(monkeypatch):
+    """Texts without spaces are words as long as they are: what is kept of them must not grow with their number."""
+    monkeypatch.setattr(T, "KNOWN_BYTES", 1 << 20, raising=False)
+    encoder = T.WordEncoder(PATH)
+    kept = lambda x: sum(map(kept, x)) if isinstance(x, (list, tuple, dict)) else len(x) if isinstance(x, bytes) else 0
+    for k in range(60):
+        encoder.encode([f"{k}{j}語{'語x' * 8000}".encode() for j in range(4)])
+        assert max(map(kept, vars(encoder).values())) < 2 << 20
+
+
 def test_grammar_compresses():
     rng = np.random.default_rng(0)
     phrase = rng.integers(2, 49000, 12)
