@@ -33,9 +33,10 @@ END = 1
 SHARD_TOKENS = 1 << 20
 MIN_COUNT = 6  # a rule takes 12 bytes, an occurrence of a pair saves 2
 EIGHTH = 8
-KNOWN_PIECES = 1_000_000  # about 60 MB
+KNOWN_PIECES = 500_000  # about 30 MB
 KNOWN_BYTES = 32 << 20  # of words that are no plain pieces
 PIECE_BYTES = 24
+ENCODE_BYTES = 1 << 19  # of text encoded at once, or one longer text
 
 WHITE, LETTER, SIGN, ODD = range(4)
 
@@ -218,7 +219,10 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _slot(pair: np.ndarray) -> np.ndarray:
-    return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
+    slot = pair.astype(np.uint64)
+    slot *= np.uint64(0x9E3779B97F4A7C15)
+    slot >>= np.uint64(44)
+    return slot.view(np.int64)
 
 
 def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, int]:
@@ -428,7 +432,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD
             return out
 
         for batch in batches:
-            for some in pieces(batch, "text", 2 << 20):
+            for some in pieces(batch, "text", ENCODE_BYTES):
                 flat, n = encode(text_bytes(some.column("text")))
                 ids.append(flat)
                 sizes.append(n)

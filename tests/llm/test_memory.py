@@ -4,9 +4,11 @@ import gc
 import re
 import tracemalloc
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from celerix.llm import common, jaccard_join
 from celerix.llm import language_ppm as L
@@ -65,3 +67,23 @@ def test_code_lengths_hold_one_chunk_of_numbers():
     tracemalloc.stop()
     assert peak < 7 * len(text)
     assert np.allclose(bits[0], model.code_lengths([text[: len(text) // 2]])[0] * 2, rtol=1e-4)
+
+
+def test_encoding_a_batch_holds_arrays_of_its_pieces(spark, monkeypatch):
+    """A batch of 8 MB is encoded piece by piece: beside its tokens a task holds what one piece takes."""
+    words = [f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'aeiou'[k // 100 % 5]}n" for k in range(500)]
+    texts = [" ".join(words) * 8 for _ in range(400)]  # 8 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    docs, tasks = docs_of(spark, [(1, "one")]), []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: tasks.append(f) or plain(self, f, *a, **b))
+    T.write_shards(docs, PATH)
+    monkeypatch.setattr(T, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(T.Shard, "dump", lambda names, sizes, ids: b"")
+    T.encoder(PATH).encode([b"one"])
+    tracemalloc.start()
+    for _ in tasks[0](iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 << 20
