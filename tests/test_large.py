@@ -72,3 +72,17 @@ def test_bandwidths_of_whole_batches(goal):
     rho, sigma = neighbors._smooth(d, np.log2(goal))
     total = np.exp(-np.maximum(0, d - rho[:, None]) / sigma[:, None]).sum(1)
     assert np.allclose(total[1:], np.log2(goal), atol=1e-4) and rho[0] == 0
+
+
+def test_harmony_runs_all_inner_sweeps(spark, monkeypatch):
+    """Half of the inner sweeps were left out; a round ends early only when the shares have settled."""
+    from celerix.operators import decomposition
+
+    ran = []
+    real = decomposition.summed
+    monkeypatch.setattr(decomposition, "summed", lambda *a: ran.append(a) or real(*a))
+    monkeypatch.setattr(decomposition, "SETTLED", -1.0)
+    rng = np.random.default_rng(0)
+    v = rng.normal(0, 0.5, (120, 4)) + np.where(np.arange(120) % 2, 2, -2)[:, None]
+    decomposition.harmony_integrate(points(spark, v, libs=np.arange(120) // 2 % 2), "lib", n_clusters=3, rounds=1, inner=6)
+    assert len(ran) == 6 + 1
