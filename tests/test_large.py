@@ -86,3 +86,88 @@ def test_harmony_runs_all_inner_sweeps(spark, monkeypatch):
     v = rng.normal(0, 0.5, (120, 4)) + np.where(np.arange(120) % 2, 2, -2)[:, None]
     decomposition.harmony_integrate(points(spark, v, libs=np.arange(120) // 2 % 2), "lib", n_clusters=3, rounds=1, inner=6)
     assert len(ran) == 6 + 1
+
+
+@pytest.fixture
+def small_leaves(monkeypatch):
+    from celerix.operators import spatial
+
+    monkeypatch.setattr(spatial, "LEAF", 32)
+    return spatial
+
+
+def scattered():
+    rng = np.random.default_rng(3)
+    return np.concatenate([rng.normal(0, 1, (300, 2)), rng.normal(0, 0.01, (100, 2)) + 5, np.full((50, 2), 2.0), [[400.0, -300.0]]])
+
+
+def test_spatial_search_over_several_leaves(spark, small_leaves):
+    xy = scattered()
+    libs = np.arange(len(xy)) % 2
+    df = small_leaves.spatial_neighbors_knn(points(spark, xy, libs=libs), 5, library_key="lib", copy=True).distances
+    got, want = {(r["src"], r["dst"]): r["weight"] for r in df.collect()}, brute_knn(xy, 5, libs)
+    assert got == want
+    near = {(r["src"], r["dst"]) for r in small_leaves.spatial_neighbors_radius(points(spark, xy), (0.02, 0.5), copy=True).distances.collect()}
+    d = np.sqrt((xy[:, None, 0] - xy[None, :, 0]) ** 2 + (xy[:, None, 1] - xy[None, :, 1]) ** 2)
+    assert near == {(i, j) for i, j in zip(*np.nonzero((d >= 0.02) & (d <= 0.5)), strict=True) if i != j}
+
+
+def test_no_task_searches_a_library_for_one_row(spark, small_leaves, monkeypatch):
+    """Rows that their cell did not settle were searched over all points."""
+    from celerix.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "exact_knn", lambda *a, **b: 1 / 0)
+    monkeypatch.setattr(small_leaves, "exact_knn", lambda *a, **b: 1 / 0, raising=False)
+    assert small_leaves.spatial_neighbors_knn(points(spark, scattered()), 5, copy=True).distances.count() == 451 * 5
+
+
+def test_co_occurrence_counts_by_blocks(spark, small_leaves):
+    xy, label = scattered(), np.arange(451) % 3
+    label = np.where(np.arange(451) % 7 == 0, 9, label)
+    limits = [0.0, 0.3, 5.0, 600.0]
+    pts = points(spark, xy, labels=label)
+    got = {(r["cc"], r["ci"], r["bin"]): r["n"] for r in small_leaves._pair_histogram(small_leaves.coords(pts).join(pts.obs.select("obs_id", "c"), "obs_id"), limits).collect()}
+    d = np.sqrt((xy[:, None, 0] - xy[None, :, 0]) ** 2 + (xy[:, None, 1] - xy[None, :, 1]) ** 2)
+    place = np.searchsorted(limits, d)
+    np.fill_diagonal(place, 9)
+    want = {(str(a), str(b), k): int((place[label == a][:, label == b] == k).sum()) for a in set(label.tolist()) for b in set(label.tolist()) for k in range(4)}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+@pytest.mark.parametrize("mode", ["moran", "geary"])
+def test_permuted_autocorrelation_against_numpy(spark, small_leaves, mode):
+    """Values travel as arrays of a row, and a permutation meets a row's lag, not its edges."""
+    from celerix.functions.stats import permutations
+
+    rng = np.random.default_rng(1)
+    xy = rng.random((90, 2))
+    frame = small_leaves.spatial_neighbors_knn(points(spark, xy), 4)
+    v = rng.normal(0, 1, (90, 70))
+    x = spark.createDataFrame([(i, j, float(v[i, j])) for i in range(90) for j in range(70)], "obs_id long, var_id long, value double")
+    frame = type(frame)(frame.obs, x.select("var_id").distinct(), x, obsp=frame.obsp)
+    got = {r["var_id"]: r for r in small_leaves.spatial_autocorr(frame, mode, n_perms=5, with_p=False, corr_method=None).collect()}
+    w = np.zeros((90, 90))
+    for r in frame.obsp["spatial_connectivities"].collect():
+        w[r["src"], r["dst"]] = 0.25
+    z = v - v.mean(0)
+    figure = (lambda a: 90 / w.sum() * np.einsum("ij,ik,jk->k", w, a, z) / (z**2).sum(0)) if mode == "moran" else (lambda a: 89 / (2 * w.sum()) * (w[..., None] * (a[:, None] - z[None]) ** 2).sum((0, 1)) / (z**2).sum(0))
+    sims = []
+    moved = permutations(frame.obs.select("obs_id"), 5, 0).collect()
+    for k in range(5):
+        to = {r["id"]: r["new_id"] for r in moved if r["perm_id"] == k}
+        sims.append(figure(z[[to[i] for i in range(90)]]))
+    name = "I" if mode == "moran" else "C"
+    assert np.allclose([got[j][name] for j in range(70)], figure(z)) and np.allclose([got[j]["var_sim"] for j in range(70)], np.var(sims, axis=0))
+
+
+def test_components_of_a_long_path(spark):
+    """Trees of pointers become vertices: the rounds grow with the logarithm, and names are the least ids."""
+    from celerix.operators import graph
+
+    rng = np.random.default_rng(0)
+    at = rng.permutation(300)
+    rows = [(int(a), int(b)) for a, b in zip(at[:199], at[1:200], strict=True)] + [(int(a), int(b)) for a, b in zip(at[200:298], at[201:299], strict=True)]
+    edges, ids = spark.createDataFrame(rows, "src long, dst long"), spark.range(300)
+    comp = {r["id"]: r["comp"] for r in graph.components(edges, ids).collect()}
+    want = {int(v): int(at[part].min()) for part in (slice(0, 200), slice(200, 299), slice(299, 300)) for v in at[part]}
+    assert comp == want
