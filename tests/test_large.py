@@ -171,3 +171,20 @@ def test_components_of_a_long_path(spark):
     comp = {r["id"]: r["comp"] for r in graph.components(edges, ids).collect()}
     want = {int(v): int(at[part].min()) for part in (slice(0, 200), slice(200, 299), slice(299, 300)) for v in at[part]}
     assert comp == want
+
+
+def test_tsne_repulsion_holds_no_matrix_of_all_pairs():
+    import tracemalloc
+
+    from celerix.operators import layout
+
+    y = np.random.default_rng(0).normal(0, 1, (3000, 2))
+    tracemalloc.start()
+    push, total = layout.repulsion(y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    diff = y[:500, None] - y[None]
+    q = 1 / (1 + (diff**2).sum(2))
+    q[np.arange(500), np.arange(500)] = 0
+    assert np.allclose(push[:500], (q[..., None] ** 2 * diff).sum(1)) and peak < 8 * 3000 * 3000
+    assert abs(total - (1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))).sum() + 3000) < 1e-6 * total
